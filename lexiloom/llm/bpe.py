@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Numbering, chunks, narrow, offsets, ragged
 
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def word_pattern() -> str:

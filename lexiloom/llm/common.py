@@ -15,8 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python: Arrow's batches of 10,000 rows would take too much of a worker's memory."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Only (id LONG, text STRING), whatever else the table holds."""
+    """Only (id LONG, text STRING), whatever else the table holds, in Arrow batches of 1,000 rows at most."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
