@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, simhash
+from . import bpe, langid, simhash
 from .common import table
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
@@ -20,8 +20,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify_languages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op9_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_byte_bpe, op9_simhash_near_dedup, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
