@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, simhash
+from . import bpe, langid, simhash, suffixes
 from .common import table
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
@@ -16,6 +16,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_decode(bpe.bpe_encode(table(spark, sf_dir, "documents"), VOCAB), VOCAB)
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.later_copies(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -25,7 +29,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_byte_bpe, op9_simhash_near_dedup, op10_language_mixture)}
+    return {f.__name__: f for f in (op1_byte_bpe, op2_suffix_array_dedup, op9_simhash_near_dedup, op10_language_mixture)}
 
 
 def oracle_sql() -> dict[str, str]:
