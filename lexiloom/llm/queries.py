@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, secrets, simhash, suffixes
+from . import bpe, langid, mixing, quality, secrets, simhash, suffixes, warc
 from .common import table
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.flat_headers(warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages"))))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,4 +49,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op4_mix_sources": mixing.SQL, "op5_secret_scan": secrets.sql()}
+    return {"op3_quality_rules": quality.SQL, "op4_mix_sources": mixing.SQL, "op5_secret_scan": secrets.sql(), "op8_warc_revisits": warc.SQL}
