@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, secrets, simhash, suffixes, warc
+from . import bpe, chroma, html, langid, mixing, quality, secrets, simhash, suffixes, warc
 from .common import table
 
 VOCAB = "/opt/tokenizers/byte_bpe_50k.json"
@@ -32,6 +32,15 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chroma.align(chroma.fingerprints(chroma.embedding_recordings(table(spark, sf_dir, "embeddings"))))
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html.extract_pages(pages, html.fit(html.training_pairs(pages, table(spark, sf_dir, "documents"))))
+
+
 def op8_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.flat_headers(warc.resolve_revisits(warc.page_records(table(spark, sf_dir, "pages"))))
 
