@@ -82,7 +82,7 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id", t
     p2 = (two + 8 * p1[:, None, :]) / (two.sum(-1, keepdims=True) + 8)
     p3 = (counts + 4 * p2[:, None]) / (counts.sum(-1, keepdims=True) + 4)
     flat = np.full((1, ALPHABET**3), 1 / ALPHABET)
-    return Model((*languages, UNKNOWN), letters, np.log(np.concatenate([p3.reshape(len(languages), -1), flat])).astype(np.float32))
+    return Model((*languages, UNKNOWN), letters, np.log(np.concatenate([p3.reshape(-1, ALPHABET**3), flat])).astype(np.float32))
 
 
 @lru_cache(maxsize=2)
