@@ -40,6 +40,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_ROWS = 100_000
+
+
+def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A table that is usually small, counted, and marked for broadcast if it has at most ``rows`` rows.
+
+    Beyond that it is joined by shuffles, as Spark decides.
+    """
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", once: bool = False) -> DataFrame:
     """``docs`` without the ids of ``gone`` (one LONG column ``id``).
 

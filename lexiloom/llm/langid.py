@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, narrow, offsets, short_batches
+from .common import chunks, if_small, narrow, offsets, short_batches
 
 TRAIN_DOCS = 500
 ALPHABET = 64  # boundary, 62 letters, any other letter
@@ -41,7 +41,7 @@ def trigram_counts(docs: DataFrame, train_docs: int, id_col: str, text_col: str,
     known = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang")).filter("id is not null and lang is not null").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = known.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= train_docs).select("id", "lang")
-    texts = narrow(docs, id_col, text_col).join(chosen, "id").select("lang", "text")
+    texts = narrow(docs, id_col, text_col).join(if_small(chosen), "id").select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import re
