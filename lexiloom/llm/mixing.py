@@ -13,6 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import if_small
+
 WEIGHTS = {"src0": 4.0}
 SEED = 17
 
@@ -77,7 +79,7 @@ def mix_sources(
     counted = (
         docs.withColumn("__u", u)
         .withColumn("__name", name)
-        .join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
+        .join(if_small(rates), F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
         .withColumn("__n", F.expr("size(filter(__cdf, c -> c <= __u))"))
         .filter("__n > 0")
     )
