@@ -202,6 +202,7 @@ class MergeLoop:
         self.nxt[pos] = after
         inner = after >= 0
         self.prv[after[inner]] = pos[inner]
+        before = self.prv[pos]  # may have been merged itself
         self.enter(np.unique(np.concatenate([before[before >= 0], pos[inner]])))
         self.count.pop(key, None)
 

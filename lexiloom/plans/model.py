@@ -210,15 +210,15 @@ class Model:
         return [self.decode(ids[begin[k] : begin[k + 1]]) for k in range(len(counts))]
 
 
-UNITS = Scheme("units", ("(?s) *[^ ]+| +",))
+UNITS = Scheme("units", (r"(?s).(?:(?!(?<=\S) ).)*",))
 
 
 def superword_rank(merges: Sequence[tuple[bytes, bytes]], pairs: PairTable) -> int | None:
-    """The rank of the first merge that joins a space to a character before it; None if there is none, or ranks don't follow ids."""
+    """The rank of the first merge that joins a space to what isn't white space before it; None if there is none, or ranks don't follow ids."""
     if len(pairs.ranks) and (np.diff(pairs.merged[np.argsort(pairs.ranks)]) <= 0).any():
         return None
     ranks = np.sort(pairs.ranks)
-    return next((int(ranks[k]) for k, (a, b) in enumerate(merges) if b[:1] == b" " and a[-1:] != b" "), None)
+    return next((int(ranks[k]) for k, (a, b) in enumerate(merges) if b[:1] == b" " and a[-1:].strip()), None)
 
 
 @dataclass(frozen=True)
@@ -243,7 +243,7 @@ class ByteModel(Model):
     def units(self) -> ByteModel | None:
         """Where a text is one word: the model of the merges before the first that crosses from a character to a space.
 
-        None of these can cross from a unit, some spaces and what follows up to the next space, to another. They
+        None of these can cross the end of a unit, which lies between anything but white space and a space. They
         all come before the later ones, and no later merge brings up one of them again, so that encoding units
         (which recur, and are cached) and then merging their tokens equals merging the text at once.
         """

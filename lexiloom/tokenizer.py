@@ -78,12 +78,13 @@ class Tokenizer:
         else:
             find = lambda name: path
         settings = {}
-        if find("tokenizer_config.json") != path:
-            try:
-                with open(find("tokenizer_config.json"), encoding="utf-8") as f:
+        try:
+            place = find("tokenizer_config.json")
+            if place != path:
+                with open(place, encoding="utf-8") as f:
                     settings = json.load(f)
-            except FileNotFoundError:
-                pass
+        except FileNotFoundError:
+            pass
         line = loaders.rank_line(settings)
         if line:
             special = {t["content"]: int(i) for i, t in (settings.get("added_tokens_decoder") or {}).items()}
