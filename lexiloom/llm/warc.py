@@ -47,7 +47,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     outcome: ``resolved``; ``no_earlier_response``, also where url or fetched is null;
     ``mismatch``, where an ETag (compared weakly), else a Last-Modified date, else a payload digest that both have
     differs; ``no_validator``, where both have none of these in common. Only the first has headers and payload.
-    Of responses that share a record_id, the greatest payload is taken. Repeated revisits are resolved each.
+    Of responses that share a record_id, a null one included, the greatest payload is taken. Repeated revisits are resolved each.
     """
     wanted = records.filter("kind = 'revisit' or (kind = 'response' and status = 200)").select("record_id", "url", "fetched", "kind", "headers")
     light = wanted.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical_url"), "fetched", (F.col("kind") == "revisit").alias("asks"), lower_headers(F.col("headers")).alias("headers"))
@@ -71,10 +71,10 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         F.col("record_id").alias("revisit_id"), "canonical_url", F.col("stored.id").alias("response_id"), "outcome",
         F.when(F.col("outcome") == "resolved", F.map_concat(base, fresh)).alias("headers"),
     )
-    bodies = records.filter("kind = 'response' and status = 200 and record_id is not null").select(F.col("record_id").cast("long").alias("__id"), "payload")
+    bodies = records.filter("kind = 'response' and status = 200").select(F.col("record_id").cast("long").alias("__id"), "payload")
     needed = judged.filter("outcome = 'resolved'")
     bodies = bodies.groupBy("__id").agg(F.max("payload").alias("payload"))
-    with_body = needed.join(bodies, F.col("response_id") == F.col("__id"), "left").drop("__id")
+    with_body = needed.join(bodies, F.col("response_id").eqNullSafe(F.col("__id")), "left").drop("__id")
     return with_body.unionByName(judged.filter("outcome <> 'resolved'").withColumn("payload", F.lit(None).cast(with_body.schema["payload"].dataType)))
 
 
