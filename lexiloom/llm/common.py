@@ -27,6 +27,14 @@ def narrow(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has."""
+    lead = "__"
+    while any(c.lower().startswith(lead) for c in df.columns):
+        lead += "_"
+    return [lead + n for n in names]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint.
 

@@ -13,7 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import if_small
+from .common import fresh, if_small
 
 WEIGHTS = {"src0": 4.0}
 SEED = 17
@@ -68,25 +68,24 @@ def mix_sources(
     The same ids, seed and weights give the same counts. Rows that share an id have one count; a row
     without an id draws its count from its text. Weights that are all 0 give no rows. ``marks`` adds
     mix_copy (from 1) and mix_key, by which the rows of each partition are sorted; columns of these
-    names that are there already are replaced.
+    names that are there already are left out. All others stay as they are.
     """
-    docs_in = docs
     docs = docs.drop("mix_copy", "mix_key")
-    rates = source_rates(docs, weights, default_weight, size, source_col).select(F.col("source").alias("__source"), F.col("cdf").alias("__cdf"))
+    src, cdf, draw, name_, n, copy, key = fresh(docs, "source_", "cdf", "u", "name", "n", "mix_copy", "mix_key")
+    rates = source_rates(docs, weights, default_weight, size, source_col).select(F.col("source").alias(src), F.col("cdf").alias(cdf))
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.coalesce(F.md5(F.col(text_col)), F.lit(""))))
-    u = uniform(F.concat(F.lit(f"{seed}:"), name))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counted = (
-        docs.withColumn("__u", u)
-        .withColumn("__name", name)
-        .join(if_small(rates), F.col(source_col).cast("string").eqNullSafe(F.col("__source")))
-        .withColumn("__n", F.expr("size(filter(__cdf, c -> c <= __u))"))
-        .filter("__n > 0")
+        docs.withColumn(draw, uniform(F.concat(F.lit(f"{seed}:"), name)))
+        .withColumn(name_, name)
+        .join(if_small(rates), F.col(source_col).cast("string").eqNullSafe(F.col(src)))
+        .withColumn(n, F.size(F.filter(cdf, lambda c: c <= F.col(draw))))
+        .filter(F.col(n) > 0)
     )
-    copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    keyed = copies.withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}:"), "__name", F.lit(":"), F.col("mix_copy").cast("string"))))
-    out = keyed.select(*docs.columns, "mix_copy", "mix_key").repartition(parts, "mix_key").sortWithinPartitions("mix_key")
-    return out if marks else out.select(*[c for c in docs_in.columns if c in docs.columns])
+    copies = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n))))
+    keyed = copies.withColumn(key, F.md5(F.concat(F.lit(f"{seed}:"), name_, F.lit(":"), F.col(copy).cast("string"))))
+    out = keyed.select(*docs.columns, copy, key).repartition(parts, key).sortWithinPartitions(key)
+    return out.withColumnsRenamed({copy: "mix_copy", key: "mix_key"}) if marks else out.select(*docs.columns)
 
 
 SQL = f"""

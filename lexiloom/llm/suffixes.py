@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, narrow, offsets, ragged, short_batches
+from .common import chunks, cut, fresh, narrow, offsets, ragged, short_batches
 
 MIN_WORDS = 50
 GRAM = 8
@@ -273,9 +273,10 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null id stay; each row that shares an id is cut by the same word numbers only if its text is the
     one that counts, and stays whole otherwise.
     """
-    spans = cut(later_copies(docs, id_col, text_col, min_words)).groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("__cuts"))
-    least = narrow(docs, id_col, text_col).join(spans, F.col("id") == F.col("__id"), "left_semi").groupBy(F.col("id").alias("__id")).agg(F.min("text").alias("__least"))
-    spans = spans.join(least, "__id")
+    key, cuts_, least_ = fresh(docs, "id", "cuts", "least")
+    spans = cut(later_copies(docs, id_col, text_col, min_words)).groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts_))
+    least = narrow(docs, id_col, text_col).join(spans, F.col("id") == F.col(key), "left_semi").groupBy(F.col("id").alias(key)).agg(F.min("text").alias(least_))
+    spans = spans.join(least, key)
 
     @F.pandas_udf("string")
     def without(text, cuts):
@@ -295,6 +296,6 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.append("".join([*kept, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    wide = docs.join(spans, docs[id_col] == spans["__id"], "left")
-    cuts = F.when(F.col("__least") == F.col(text_col), F.col("__cuts"))
+    wide = docs.join(spans, docs[id_col] == spans[key], "left")
+    cuts = F.when(F.col(least_) == F.col(text_col), F.col(cuts_))
     return wide.withColumn(text_col, F.when(cuts.isNotNull(), without(F.col(text_col), cuts)).otherwise(F.col(text_col))).select(*docs.columns)
