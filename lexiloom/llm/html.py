@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import short_batches
+from .common import if_small, short_batches
 
 TRAIN_PAGES = 300
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|template|noscript)\b[^>]*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|</([a-zA-Z][\w:-]*)[^>]*>|<([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
@@ -173,7 +173,7 @@ def training_pairs(pages: DataFrame, docs: DataFrame, n: int = TRAIN_PAGES) -> l
     """(html, text) of at most ``n`` pages, by a hash of their ids, whose URL's path ends in the id of a document."""
     number = F.regexp_extract("url", r"/([0-9]{1,18})(?:[.]html|/|$|[?#])", 1)
     few = pages.select(F.col("page_id").alias("id"), number.alias("d")).filter("d <> '' and id is not null").orderBy(F.xxhash64("id"), "id").limit(n)
-    few = few.select("id", F.col("d").cast("long").alias("d"))
+    few = if_small(few.select("id", F.col("d").cast("long").alias("d")))
     with_page = few.join(pages.select(F.col("page_id").alias("id"), "html"), "id")
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(few.select("d").distinct(), "d", "left_semi").groupBy("d").agg(F.min("text").alias("text"))
     return with_page.join(texts, "d").filter("html is not null and text is not null").orderBy("id").select("html", "text").collect()
