@@ -63,13 +63,16 @@ def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
 def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", once: bool = False) -> DataFrame:
     """``docs`` without the ids of ``gone`` (one LONG column ``id``).
 
-    Rows with a null id always stay. ``once``: of several rows with one id a single one stays.
+    Rows with a null id always stay. ``once``: of several rows with one id a single one stays, the
+    least by its columns in their order (maps aside).
     """
     named = docs.filter(F.col(id_col).isNotNull())
-    gone = gone.select(F.col("id").alias("__gone")).distinct()
-    left = named.join(gone, named[id_col] == gone["__gone"], "left_anti")
+    mark, row = fresh(docs, "gone", "row")
+    gone = gone.select(F.col("id").alias(mark)).distinct()
+    left = named.join(gone, named[id_col] == gone[mark], "left_anti")
     if once:
-        left = left.dropDuplicates([id_col])
+        order = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+        left = left.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), order).alias(row)).select(f"{row}.*")
     return left.unionByName(docs.filter(F.col(id_col).isNull()))
 
 
