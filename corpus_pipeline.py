@@ -42,8 +42,16 @@ STAGES = [("language ID", identify), ("near-dedup", deduplicate), ("secrets", ma
 ORACLE_SQL = None
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents. What lies between them goes to the session's shared checkpoint folder."""
+    """All stages over the documents. What lies between them goes to the session's shared checkpoint folder.
+
+    A step's folder goes once the next one is written; the last stays, as the result is read from it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-")
     here = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -52,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{here}/{k}")
             docs = spark.read.parquet(f"{here}/{k}")
+            if k:
+                remove(spark, f"{here}/{k - 1}")
     return docs
