@@ -33,15 +33,16 @@ DRIVER_WORDS = 5_000_000
 
 def count_pairs(words: DataFrame) -> DataFrame:
     """(l, r, count) of the adjacent symbols of (symbols ARRAY<INT>, count); overlapping pairs count each."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("symbols") - 1), lambda i: F.struct(F.element_at("symbols", i).alias("l"), F.element_at("symbols", i + 1).alias("r")))
+    n = F.size("symbols") - 1
+    pairs = F.arrays_zip(F.slice("symbols", F.lit(1), n), F.slice("symbols", F.lit(2), n)).cast("array<struct<l:int,r:int>>")
     rows = words.filter(F.size("symbols") > 1).select("count", F.explode(pairs).alias("p"))
     return rows.groupBy("p.l", "p.r").agg(F.sum("count").alias("count"))
 
 
 def byte_symbols(word: str = "pretoken") -> Column:
     """ARRAY<INT> of the UTF-8 bytes of a string column."""
-    text = F.hex(F.encode(F.col(word), "UTF-8"))
-    return F.transform(F.regexp_extract_all(text, F.lit("(..)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("int"))
+    chars = F.split(F.decode(F.encode(F.col(word), "UTF-8"), "ISO-8859-1"), "")
+    return F.when(F.col(word) == "", F.array().cast("array<int>")).otherwise(F.transform(chars, F.ascii))
 
 
 def byte_ranks() -> list[int]:
