@@ -80,18 +80,28 @@ def window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - span)], x[w - span :]) if len(x) > w - span else x[:0]
 
 
-def segments(hashes: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows of one text with one least hash: the hash, the first window and the window after the last."""
+def segments(hashes: np.ndarray, min_words: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows of one text with one least hash: the hash, the first window and the window after the last, and
+    whether the hash occurs twice or more in the run, as it does where two of its windows are equal."""
     if len(hashes) < min_words:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none, none, none.astype(bool)
     m = len(hashes) - gram + 1
     grams = np.zeros(m, np.uint64)
     for k, p in enumerate(powers(gram, 0xD1342543DE82EF95)):
         grams += hashes[k : k + m] * p
-    least = window_min(mixed(grams), min_words - gram + 1)
+    grams = mixed(grams)
+    reach = min_words - gram + 1
+    least = window_min(grams, reach)
     begin = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return least[begin].view(np.int64), begin, np.append(begin[1:], len(least))
+    end = np.append(begin[1:], len(least))
+    order = np.argsort(grams, kind="stable")
+    place = np.arange(m)
+    lo, hi = np.searchsorted(grams[order], least[begin], "left"), np.searchsorted(grams[order], least[begin], "right")
+    rank = np.repeat(np.arange(len(begin)), hi - lo)
+    at = place[order][ragged(lo, hi - lo)]
+    inside = (at >= begin[rank]) & (at < end[rank] + reach - 1)
+    return least[begin].view(np.int64), begin, end, np.bincount(rank[inside], minlength=len(begin)) > 1
 
 
 def by_text(texts: list[str | None]) -> Iterator[np.ndarray]:
@@ -178,22 +188,21 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     short_batches(spark)
     gram, parts = GRAM, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    reach = min_words - gram + 1  # one run of words is the least of so many windows at most
     texts = narrow(docs, id_col, text_col).filter("id is not null and text is not null")
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, 4 << 20):
             found = [segments(h, min_words, gram) for h in by_text(t.column("text").to_pylist())]
             n = np.array([len(f[0]) for f in found])
-            cols = [np.concatenate([f[k] for f in found]) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.repeat(t.column("id").to_numpy(), n)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2].astype(np.int32))], names=["h", "id", "s", "e"])
+            cols = [np.concatenate([f[k] for f in found]) for k in (0, 1, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.repeat(t.column("id").to_numpy(), n)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2])], names=["h", "id", "s", "twice"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, 4 << 20):
             heads = t.column("heads").to_pylist()
             out: list[list] = [[], [], [], []]
             for i, h, at in zip(t.column("id").to_pylist(), by_text(t.column("text").to_pylist()), heads):
-                least, begin, end = segments(h, min_words, gram)
+                least, begin, end, _ = segments(h, min_words, gram)
                 words = h.astype(np.uint32)  # 32 bits of each word
                 for k in np.flatnonzero(np.isin(begin, at)).tolist():
                     out[0].append(int(least[k]))
@@ -253,10 +262,10 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held:
             yield arrays()
 
-    # a bucket matters if it has two segments, or one so long that its least run of words occurs twice
-    segs = texts.mapInArrow(buckets, "h long, id long, s int, e int")
+    # a bucket matters if it has two segments, or one in which its least run of words occurs twice
+    segs = texts.mapInArrow(buckets, "h long, id long, s int, twice boolean")
     many = Window.partitionBy("h")
-    heads = segs.withColumn("n", F.count("*").over(many)).filter(f"n > 1 or e - s > {reach}").groupBy("id").agg(F.collect_set("s").alias("heads"))
+    heads = segs.withColumn("n", F.count("*").over(many)).filter("n > 1 or twice").groupBy("id").agg(F.collect_set("s").alias("heads"))
     joined = texts.join(heads, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("heads").alias("heads"))
     found = joined.mapInArrow(expand, "h long, id long, s int, words binary").repartition(parts, "h").sortWithinPartitions("h", "id", "s").mapInArrow(match, "id long, start_word int, end_word int, source long")
     order = Window.partitionBy("id").orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
