@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from .common import chunks, if_small, narrow, offsets, short_batches
 
 TRAIN_DOCS = 500
+CHUNK_BYTES = 1 << 20  # some fifty times as much in arrays
 ALPHABET = 64  # boundary, 62 letters, any other letter
 PENALTY = 3.0
 TOLERANCE, ROUNDS = 1e-3, 60
@@ -184,7 +185,7 @@ def identify_languages(docs: DataFrame, model: Model | None = None, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
-        for t in chunks(batches, 4 << 20):
+        for t in chunks(batches, CHUNK_BYTES):
             share, n = mixtures(t.column("text").to_pylist(), m, penalty)
             names, parts, tops = [], [], []
             for row in share:
@@ -206,7 +207,7 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, 4 << 20):
+        for t in chunks(batches, CHUNK_BYTES):
             share, n = mixtures(t.column(at).to_pylist(), held.value, penalty)
             yield from t.filter(pa.array((n > 0) & (share[:, -1] <= 0.5))).to_batches()
 
