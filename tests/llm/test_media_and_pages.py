@@ -39,6 +39,28 @@ def test_alignment(spark):
     assert chroma.align(chroma.fingerprints(df.filter("false"))).count() == 0
 
 
+def test_shifted_and_noisy_copies_are_found(spark):
+    rng = np.random.default_rng(3)
+    clips = [chroma.melody(rng.normal(0, 0.15, 100)) for _ in range(30)]
+    half, loud = chroma.HOP // 2, lambda c, db: c + rng.normal(0, np.sqrt(0.5 / 10 ** (db / 10)), len(c))
+    kinds = [[c[half:] for c in clips], [loud(c, 10) for c in clips], [loud(c[half:], 10) for c in clips], [loud(c[half:], 3) for c in clips]]
+    fps = [[chroma.fingerprint(c) for c in k] for k in (clips, *kinds)]
+    rows = [(100 * k + i, f.view(np.int32).tolist()) for k, fs in enumerate(fps) for i, f in enumerate(fs)]
+    got = {(r["rec_a"], r["rec_b"]): r for r in chroma.align(spark.createDataFrame(rows, "rec_id long, fp array<int>")).collect()}
+
+    def wrong(a, b, offset):
+        begin = max(offset, 0)
+        n = min(len(a), len(b) + offset) - begin
+        return np.bitwise_count(a[begin : begin + n] ^ b[begin - offset : begin - offset + n]).sum() / (32 * n)
+
+    for k in range(1, len(fps)):
+        near = {i for i, (a, b) in enumerate(zip(fps[0], fps[k])) if min(wrong(a, b, o) for o in range(1 - len(b) + 40, len(a) - 40)) <= chroma.BIT_ERROR}
+        assert len(near) == len(clips)
+        assert sum((i, 100 * k + i) in got for i in near) >= 0.9 * len(near)
+    assert all(a % 100 == b % 100 for a, b in got)
+    assert all(abs(r["bit_errors"] / r["bits"] - wrong(fps[a // 100][a % 100], fps[b // 100][b % 100], r["offset"])) < 1e-9 for (a, b), r in got.items())
+
+
 def test_neighbours_are_found(spark):
     from lexiloom.llm.queries import op6_chroma_fingerprints
 
