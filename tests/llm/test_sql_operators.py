@@ -81,6 +81,17 @@ def test_secrets_found_and_allowed(spark):
     assert secrets.scan_secrets(df.filter("false")).count() == 0
 
 
+def test_random_secrets_are_flagged():
+    rng = np.random.default_rng(5)
+    scan = secrets.Scanner(secrets.Rules())
+    low, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for chars, least in ((digits + "ABCDEF", 0.97), (digits + "abcdef", 0.97), (digits + low, 0.97), (digits + low + low.upper(), 0.94)):
+        for n in (20, 24, 32, 40):
+            assert np.mean([bool(scan("".join(rng.choice(list(chars), n)))) for _ in range(1000)]) >= least
+    quiet = "see internationalization2 or AAAAAAAABBBBBBBBCCCCCCCC1111"
+    assert scan("24be64439e3e49cf46b2d7c90f3602a3d0b907ff".upper()) and not scan(quiet)
+
+
 def test_limit_is_the_exact_binomial_one(spark):
     for n, alpha, delta in ((300, 0.02, 0.01), (50, 0.02, 0.01), (1000, 0.05, 0.001)):
         a, total, k = Fraction(alpha), Fraction(0), -1
