@@ -38,16 +38,26 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``; only
-    where that is unset (tests) a temporary folder is used.
+    The folder is the one that the session names in ``spark.checkpoint.dir``. Where that is unset, a
+    local session (tests) uses a temporary folder, and any other raises: its executors would share none.
+    This runs a job at once, whether or not the result is used.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="lexiloom-")
+
+
 SMALL_ROWS = 100_000
 
 
@@ -60,22 +70,6 @@ def if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def drop_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", once: bool = False) -> DataFrame:
-    """``docs`` without the ids of ``gone`` (one LONG column ``id``).
-
-    Rows with a null id always stay. ``once``: of several rows with one id a single one stays, the
-    least by its columns in their order (maps aside).
-    """
-    named = docs.filter(F.col(id_col).isNotNull())
-    mark, row = fresh(docs, "gone", "row")
-    gone = gone.select(F.col("id").alias(mark)).distinct()
-    left = named.join(gone, named[id_col] == gone[mark], "left_anti")
-    if once:
-        order = F.struct(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
-        left = left.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), order).alias(row)).select(f"{row}.*")
-    return left.unionByName(docs.filter(F.col(id_col).isNull()))
-
-
 def chunks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
     """Joins Arrow batches until they hold about ``limit`` bytes."""
     held, size = [], 0

@@ -1,8 +1,10 @@
 """What the operators compute, by trying everything."""
 
-import numpy as np
+import math
+import re
+from collections import Counter
 
-from lexiloom.llm import simhash
+import xxhash
 
 
 def later_words(texts, k):
@@ -18,10 +20,22 @@ def later_words(texts, k):
     return out
 
 
+def simhash_of(text):
+    """256 bits: the sign of the sum of +1 and -1 for each bit of the words' hashes, weighted by their counts; None without words."""
+    sums = [0] * 256
+    counts = Counter(re.findall(r"\w+", (text or "").lower()))
+    for word, n in counts.items():
+        raw = word.encode("utf-8", "surrogatepass")
+        bits = int.from_bytes(b"".join(xxhash.xxh3_128_digest(raw, seed=s) for s in (0, 1)), "big")
+        weight = math.floor(4 * math.sqrt(n) + 0.5)
+        for k in range(256):
+            sums[k] += weight if bits >> (255 - k) & 1 else -weight
+    return sum(1 << (255 - k) for k, x in enumerate(sums) if x > 0) if counts else None
+
+
 def near_groups(ids, texts, limit):
     """All pairs within ``limit``, and the least id of the group of each id that isn't the least."""
-    fps, some = simhash.fingerprints(texts)
-    fps = fps.view(np.uint64)
+    fps = [simhash_of(t) for t in texts]
     root = {i: i for i in ids}
 
     def find(i):
@@ -31,11 +45,11 @@ def near_groups(ids, texts, limit):
 
     pairs = set()
     for a in range(len(ids)):
-        close = np.flatnonzero((simhash.hamming(fps[a], fps[:a]) <= limit) & some[:a] & some[a])
-        for b in close:
-            pairs.add((ids[b], ids[a]))
-            x, y = find(ids[a]), find(ids[b])
-            root[max(x, y)] = min(x, y)
+        for b in range(a):
+            if fps[a] is not None and fps[b] is not None and (fps[a] ^ fps[b]).bit_count() <= limit:
+                pairs.add((ids[b], ids[a]))
+                x, y = find(ids[a]), find(ids[b])
+                root[max(x, y)] = min(x, y)
     return pairs, {i: find(i) for i in ids if find(i) != i}
 
 

