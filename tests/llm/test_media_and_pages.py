@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -122,11 +124,34 @@ def test_odd_pages(spark, pairs):
     got = html.extract_pages(df, model).collect()
     assert len(got) == len(rows)
     by = {(r["page_id"], r["n_elements"]): r["text"] for r in got}
-    assert by[1, 0] is None and by[2, 0] == "" and by[3, 0] == ""
+    assert by[1, 0] is None and by[2, 0] == "" and by[3, 0] == "plain"
     assert html.extract_pages(df.filter("false"), model).count() == 0
     assert html.extract_pages(df, html.fit([])).count() == len(rows)
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<a '" * 250_000, "<a '" * 250_000 + ">", "<a '\">" * 200_000, "<div>" * 100_000 + "</p>" * 120_000, "<span>" * 80_000 + "<p></p>" * 80_000, "<p><table>" + "<b>" * 100_000 + "<li></li>" * 60_000, "x<br>" * 200_000, "<!" * 500_000, "<script>" * 120_000, "</" * 500_000, "<!-- " * 200_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    nodes = html.parse(page)
+    html.render(nodes, np.ones(len(nodes), bool))
+    assert time.process_time() - began < 4
+
+
+def test_tokens_are_learned():
+    pages = []
+    for k in range(40):
+        parts = [f'<div class="zork"><p>kept words {k}, and more.</p></div>', f'<div class="blip"><p>left words {k}, and more.</p></div>']
+        pages.append(("".join(parts if k % 2 else parts[::-1]), f"kept words {k}, and more."))
+    model = html.fit(pages)
+    assert model.weights["zork"] > 1 and model.weights["blip"] < -1
+    assert html.extract('<div class="blip"><p>left words 99, and more.</p></div><div class="zork"><p>kept words 98, and more.</p></div>', model)[0] == "kept words 98, and more."
+
+
+def test_unclosed_quotes_are_ordinary():
+    nodes = html.parse("""<p class="a>one</p><p title='x > y'>two</p>""")
+    assert [n.tag for n in nodes] == ["#", "p", "p"] and nodes[1].texts == [(0, "one")] and nodes[2].texts == [(0, "two")]
+
+
 def test_trees_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
