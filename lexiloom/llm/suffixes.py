@@ -1,6 +1,6 @@
 """Suffix-array dedup by longest-previous-factor arrays.
 
-The corpus is the texts in the order of their ids. A word whose following
+The corpus is the rows' texts in the order of their ids. A word whose following
 ``min_words`` words occur earlier, in an earlier text or earlier in its own,
 starts a later copy; what later copies cover is removed, and the first stays.
 
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, fresh, narrow, offsets, ragged, short_batches
+from .common import chunks, cut, fresh, narrow, offsets, ragged
 
 MIN_WORDS = 50
 GRAM = 8
@@ -174,52 +174,53 @@ def longest_previous(tokens: np.ndarray, ends: np.ndarray, own: np.ndarray, min_
     return length[own], source[own]
 
 
-def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, start_word, end_word, source_doc_ids): the maximal runs of words that later copies cover.
-
-    Words are what white space separates, numbered from 0; end_word is not covered. source_doc_ids:
-    the ids that hold the earlier matches, rising. A text of less than ``min_words`` words, an empty
-    or null one, or one without an id has no rows. Texts are taken in the order of their ids; of rows
-    that share an id, the least text alone counts. Matches are exact in case and punctuation, and may
-    lie within one text and overlap.
-    """
+def row_spans(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(z, i, th, copy, start_word, end_word, sources): see ``later_copies``. A row is named by z (its id is null), i (its id),
+    th (a hash of its text) and copy, which numbers the rows of one id and text from 0."""
     if min_words < GRAM:
         raise ValueError(f"min_words is {GRAM} at least")
     spark = docs.sparkSession
-    short_batches(spark)
     gram, parts = GRAM, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = narrow(docs, id_col, text_col).filter("id is not null and text is not null")
+    texts = narrow(docs, id_col, text_col).filter("text is not null").select(F.col("id").isNull().alias("z"), F.coalesce("id", F.lit(0)).alias("i"), F.xxhash64("text").alias("th"), "text")
+    name = ["z", "i", "th"]
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, 4 << 20):
             found = [segments(h, min_words, gram) for h in by_text(t.column("text").to_pylist())]
-            n = np.array([len(f[0]) for f in found])
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found]))
             cols = [np.concatenate([f[k] for f in found]) for k in (0, 1, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(np.repeat(t.column("id").to_numpy(), n)), pa.array(cols[1].astype(np.int32)), pa.array(cols[2])], names=["h", "id", "s", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0]), *(t.column(c).combine_chunks().take(rows) for c in name), pa.array(cols[1].astype(np.int32)), pa.array(cols[2])], names=["h", *name, "s", "twice"])
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, 4 << 20):
-            heads = t.column("heads").to_pylist()
-            out: list[list] = [[], [], [], []]
-            for i, h, at in zip(t.column("id").to_pylist(), by_text(t.column("text").to_pylist()), heads):
+            heads, n = t.column("heads").to_pylist(), t.column("n").to_pylist()
+            out: list[list] = [[] for _ in range(5)]
+            for row, (h, at) in enumerate(zip(by_text(t.column("text").to_pylist()), heads)):
                 least, begin, end, _ = segments(h, min_words, gram)
                 words = h.astype(np.uint32)  # 32 bits of each word
                 for k in np.flatnonzero(np.isin(begin, at)).tolist():
-                    out[0].append(int(least[k]))
-                    out[1].append(i)
-                    out[2].append(int(begin[k]))
-                    out[3].append(words[begin[k] : end[k] + min_words - 1].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], names=["h", "id", "s", "words"])
+                    for c, v in zip(out, (row, int(least[k]), int(begin[k]), 0, words[begin[k] : end[k] + min_words - 1].tobytes())):
+                        c.append(v)
+                if n[row] > 1:  # the same row again: all of it is a copy
+                    for c, v in zip(out, (row, int(h[0].view(np.int64)), len(h), n[row] - 1, b"")):
+                        c.append(v)
+            rows = pa.array(out[0], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(out[1], pa.int64()), *(t.column(c).combine_chunks().take(rows) for c in name), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["h", *name, "s", "again", "words"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "start_word", "end_word", "source"]
+        names = [*name, "copy", "start_word", "end_word", "source"]
+        kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
         bucket, first = None, {}
-        ids: list[int] = []
+        owner: list[tuple] = []
         at: list[int] = []
         held: list[bytes] = []
 
-        def rows(cols: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], names=names)
+        def rows(found: list[tuple]) -> pa.RecordBatch:
+            cols = zip(*found) if found else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=names)
+
+        def source_id(o: tuple) -> int | None:
+            return None if o[0] else o[1]
 
         def arrays() -> pa.RecordBatch:
             size = np.array([len(x) // 4 for x in held], np.int64)
@@ -229,7 +230,7 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             length, source = longest_previous(tokens, np.repeat(starts[1:], size), own, min_words)
             hit = np.flatnonzero(length)
             if not len(hit):
-                return rows([[], [], [], []])
+                return rows([])
             p, q = own[hit], source[hit]
             seg, src = np.searchsorted(starts, p, "right") - 1, np.searchsorted(starts, q, "right") - 1
             word = np.array(at)[seg] + p - starts[seg]
@@ -237,55 +238,74 @@ def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             new[1:] = (seg[1:] != seg[:-1]) | (np.diff(p) != 1) | (src[1:] != src[:-1])
             begin = np.flatnonzero(new)
             last = np.append(begin[1:], len(p)) - 1
-            i = np.array(ids, np.int64)
-            return rows([i[seg[begin]], word[begin], word[last] + min_words, i[src[begin]]])
+            return rows([(*owner[a], 0, s, e, source_id(owner[b])) for a, b, s, e in zip(seg[begin].tolist(), src[begin].tolist(), word[begin].tolist(), (word[last] + min_words).tolist())])
 
         for b in batches:
-            same: list[list] = [[], [], [], []]
-            for h, i, s, w in zip(b.column("h").to_pylist(), b.column("id").to_pylist(), b.column("s").to_pylist(), b.column("words").to_pylist()):
+            same: list[tuple] = []
+            for h, z, i, th, s, again, w in zip(*(b.column(c).to_pylist() for c in ("h", *name, "s", "again", "words"))):
+                if again:
+                    for k in range(1, again + 1):
+                        same.append((z, i, th, k, 0, s, source_id((z, i))))
+                        if len(same) >= 100_000:
+                            yield rows(same)
+                            same = []
+                    continue
                 if h != bucket:
                     if sum(map(len, held)) > 4 * ARRAY_WORDS:
                         yield arrays()
-                        ids, at, held = [], [], []
+                        owner, at, held = [], [], []
                     bucket, first = h, {}
                 key = hashlib.blake2b(w, digest_size=16).digest()
                 if key in first:  # a copy of a whole segment of this bucket needs no sorting
-                    for c, v in zip(same, (i, s, s + len(w) // 4, first[key])):
-                        c.append(v)
+                    same.append((z, i, th, 0, s, s + len(w) // 4, source_id(first[key])))
                 else:
-                    first[key] = i
-                    ids.append(i)
+                    first[key] = (z, i)
+                    owner.append((z, i, th))
                     at.append(s)
                     held.append(w)
-            if same[0]:
+            if same:
                 yield rows(same)
         if held:
             yield arrays()
 
+    kind = "z boolean, i long, th long"
     # a bucket matters if it has two segments, or one in which its least run of words occurs twice
-    segs = texts.mapInArrow(buckets, "h long, id long, s int, twice boolean")
-    many = Window.partitionBy("h")
-    heads = segs.withColumn("n", F.count("*").over(many)).filter("n > 1 or twice").groupBy("id").agg(F.collect_set("s").alias("heads"))
-    joined = texts.join(heads, "id").groupBy("id").agg(F.min("text").alias("text"), F.first("heads").alias("heads"))
-    found = joined.mapInArrow(expand, "h long, id long, s int, words binary").repartition(parts, "h").sortWithinPartitions("h", "id", "s").mapInArrow(match, "id long, start_word int, end_word int, source long")
-    order = Window.partitionBy("id").orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
+    segs = cut(texts.mapInArrow(buckets, f"h long, {kind}, s int, twice boolean"))
+    many = segs.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 or twice").select("h")
+    heads = segs.join(many, "h", "left_semi").groupBy(*name).agg(F.collect_set("s").alias("heads"))
+    joined = texts.join(heads, name).groupBy(*name).agg(F.min("text").alias("text"), F.first("heads").alias("heads"), F.count("*").alias("n"))
+    expanded = joined.mapInArrow(expand, f"h long, {kind}, s int, again long, words binary").repartition(parts, "h")
+    found = expanded.sortWithinPartitions("h", *name, "s").mapInArrow(match, f"{kind}, copy long, start_word int, end_word int, source long")
+    row = [*name, "copy"]
+    order = Window.partitionBy(*row).orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, -1)
     new = F.when(F.col("start_word") > F.coalesce(F.max("end_word").over(order), F.lit(-1)), 1).otherwise(0)
-    island = F.sum("new").over(Window.partitionBy("id").orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, 0))
-    spans = found.withColumn("new", new).withColumn("island", island).groupBy("id", "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.sort_array(F.collect_set("source")).alias("source_doc_ids"))
-    return spans.select(F.col("id").alias(id_col), "start_word", "end_word", "source_doc_ids")
+    island = F.sum("new").over(Window.partitionBy(*row).orderBy("start_word", "end_word").rowsBetween(Window.unboundedPreceding, 0))
+    return found.withColumn("new", new).withColumn("island", island).groupBy(*row, "island").agg(F.min("start_word").alias("start_word"), F.max("end_word").alias("end_word"), F.sort_array(F.collect_set("source")).alias("sources")).drop("island")
+
+
+def later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, start_word, end_word, source_doc_ids): the maximal runs of words that later copies cover, row by row.
+
+    Words are what white space separates, numbered from 0; end_word is not covered. source_doc_ids:
+    the ids that hold the earlier matches, rising, null ones left out. A text of less than ``min_words``
+    words, an empty or null one has no rows. Rows are taken in the order of their ids, null last, those of one id
+    by a hash of their texts; of rows with the same id and text all but one are copies as a whole. Matches are
+    exact in case and punctuation, and may lie within one text and overlap. Ids are cast to LONG.
+    """
+    spans = row_spans(docs, id_col, text_col, min_words)
+    return spans.select(F.when(~F.col("z"), F.col("i")).alias(id_col), "start_word", "end_word", F.col("sources").alias("source_doc_ids"))
 
 
 def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with the words of later copies cut out of the text, with the white space before each cut.
 
-    A text that is a copy as a whole becomes empty. All other columns stay as they are. Texts with a
-    null id stay; each row that shares an id is cut by the same word numbers only if its text is the
-    one that counts, and stays whole otherwise.
+    Rows and their order are those of ``later_copies``. A text that is a copy as a whole becomes empty; a row
+    never goes. All other columns stay as they are. Null and empty texts stay. Of rows with the same id and text
+    the one that keeps its text is the least by its other columns (maps and variants aside).
     """
-    key, cuts_, least_ = fresh(docs, "id", "cuts", "least")
-    spans = cut(later_copies(docs, id_col, text_col, min_words)).groupBy(F.col(id_col).alias(key)).agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts_))
-    least = narrow(docs, id_col, text_col).join(spans, F.col("id") == F.col(key), "left_semi").groupBy(F.col("id").alias(key)).agg(F.min("text").alias(least_))
-    spans = spans.join(least, key)
+    z, i, th, cuts_, place = fresh(docs, "z", "i", "th", "cuts", "place")
+    spans = row_spans(docs, id_col, text_col, min_words).groupBy("z", "i", "th", "copy").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias("cuts"))
+    by_copy = spans.groupBy(F.col("z").alias(z), F.col("i").alias(i), F.col("th").alias(th)).agg(F.map_from_entries(F.collect_list(F.struct("copy", "cuts"))).alias(cuts_))
 
     @F.pandas_udf("string")
     def without(text, cuts):
@@ -305,6 +325,9 @@ def remove_later_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             out.append("".join([*kept, t[at:]]))
         return pd.Series(out, dtype=object)
 
-    wide = docs.join(spans, docs[id_col] == spans[key], "left")
-    cuts = F.when(F.col(least_) == F.col(text_col), F.col(cuts_))
-    return wide.withColumn(text_col, F.when(cuts.isNotNull(), without(F.col(text_col), cuts)).otherwise(F.col(text_col))).select(*docs.columns)
+    keyed = docs.withColumns({z: F.col(id_col).cast("long").isNull(), i: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), th: F.coalesce(F.xxhash64(F.col(text_col).cast("string")), F.lit(0))})
+    wide = keyed.join(by_copy, [z, i, th], "left")
+    others = [c for c, kind in docs.dtypes if c not in (text_col, id_col) and "map<" not in kind and kind != "variant"]
+    wide = wide.withColumn(place, F.row_number().over(Window.partitionBy(z, i, th).orderBy(*[F.col(f"`{c}`") for c in others or [id_col]])).cast("long") - 1)
+    own = F.element_at(F.col(cuts_), F.col(place))
+    return wide.withColumn(text_col, F.when(own.isNotNull(), without(F.col(text_col), own)).otherwise(F.col(text_col))).select(*docs.columns)

@@ -52,7 +52,7 @@ def test_stages_keep_columns(spark, odd):
 
 
 def test_operators(spark, odd):
-    assert {r["doc_id"] for r in suffixes.later_copies(odd).collect()} == {2, 5}
+    assert {r["doc_id"] for r in suffixes.later_copies(odd).collect()} == {2, 5, None}
     _, rows = mine(suffixes.remove_later_copies(odd))
     assert sorted(len(r["text"] or "") for r in rows if r["doc_id"] == 2) == [0, 0]
     assert {(r["doc_id"], r["duplicate_of"]) for r in simhash.near_duplicates(odd).collect()} >= {(2, 1)}

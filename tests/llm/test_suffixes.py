@@ -48,7 +48,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed,k", [(0, 12), (1, 8), (2, 20)])
 def test_equals_brute_force(spark, seed, k):
     texts = corpus(seed)
-    rows = [*texts.items(), (50, None), (51, ""), (None, texts[3])]
+    rows = [*texts.items(), (50, None), (51, "")]
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, id string, h int").repartition(5)
     got = suffixes.later_copies(df, min_words=k)
     assert covered(got) == brute(texts, k)
@@ -61,7 +61,22 @@ def test_first_stays_and_columns_stay(spark):
     rows = [(1, f"one two {passage} three", "a"), (2, f"four {passage}\nfive", "b"), (3, "clean text", "c"), (3, "clean text", "c"), (None, passage, "d"), (4, None, "e")]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string")
     got = sorted((r["id"], r["text"]) for r in suffixes.remove_later_copies(df).collect())
-    assert got == [("a", rows[0][1]), ("b", "four\nfive"), ("c", "clean text"), ("c", "clean text"), ("d", passage), ("e", None)]
+    assert got == [("a", rows[0][1]), ("b", "four\nfive"), ("c", "clean text"), ("c", "clean text"), ("d", ""), ("e", None)]
+
+
+def test_repeated_and_null_ids_are_rows_like_others(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage, "a"), (1, passage, "b"), (1, "one " + passage, "c"), (None, passage, "d"), (None, "two " + passage, "e"), (0, "zero " + passage, "f"), (None, passage, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string")
+    kept = {r["id"]: r["text"] for r in suffixes.remove_later_copies(df).collect()}
+    assert kept["f"] == "zero " + passage
+    assert [kept[k] for k in "abdg"] == ["", "", "", ""] and (kept["c"], kept["e"]) == ("one", "two")
+    alone = {r["id"]: r["text"] for r in suffixes.remove_later_copies(df.filter("doc_id = 1")).collect()}
+    assert alone["b"] == "" and sum(passage in t for t in alone.values()) == 1 and {len(t.split()) for t in alone.values()} <= {0, 1, 60, 61}
+    spans = sorted((r["start_word"], r["end_word"], r["source_doc_ids"]) for r in suffixes.later_copies(df.filter("text like 'p%' and doc_id = 1")).collect())
+    assert spans == [(0, 60, [1])]
+    nameless = suffixes.later_copies(df.filter("doc_id is null")).collect()
+    assert len(nameless) == 2 and all(r["doc_id"] is None and r["source_doc_ids"] == [] for r in nameless)
 
 
 def test_empty_table(spark):
