@@ -133,6 +133,32 @@ def test_too_few_labels_reject_nothing(spark):
     assert quality.quality_filter(df.filter("false"), lab).count() == 0
 
 
+def test_the_query_rejects_and_holds_its_promise(spark):
+    docs, labels = (spark.read.parquet(f"{DIR}/{t}.parquet") for t in ("documents", "labels"))
+    kept = {r["doc_id"] for r in queries.op3_quality_rules(spark, DIR).collect()}
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    rejected = {r["doc_id"] for r in docs.select("doc_id").collect()} - kept
+    assert len(rejected) >= 10
+    seen = [marks[i] for i in rejected if i in marks]
+    assert len(seen) - sum(seen) > 2 * sum(seen)
+    assert sum(seen) <= quality.ALPHA * sum(marks.values())
+
+
+def test_all_rules_together_stay_below_alpha(spark):
+    """Rules that each reject other good texts: one by one they would keep to alpha, together they must."""
+    rng = np.random.default_rng(8)
+    rows, labels = [], []
+    for i in range(6000):
+        good = bool(rng.random() < 0.8)
+        kind = rng.integers(4) if rng.random() < (0.12 if good else 0.6) else -1
+        text = ["%%% " * 6, "LOUD WORDS ", "same\nsame\nsame\n", "x" * 40 + " "][kind] * int(rng.integers(1, 4)) if kind >= 0 else "plain words of a text"
+        rows.append((i, text, "en"))
+        labels.append((i, int(good)))
+    m = quality.with_metrics(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    got = quality.cutoffs(m, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert all(r["good_rejected"] <= quality.ALPHA * r["n_good"] for r in got)
+
+
 def test_revisits(spark):
     h = {"ETag": '"a"', "Content-Type": "text/html", "X": "1"}
     rows = [
