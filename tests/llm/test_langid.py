@@ -71,3 +71,45 @@ def test_very_long_text(halves):
     model, rest = halves
     text = " ".join(rest.text[rest.lang == "de"]) * 3
     assert model.languages[langid.mixtures([text], model)[0][0].argmax()] == "de"
+
+
+def test_texts_beside_a_text_change_nothing(halves):
+    model, rest = halves
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(list(rest.text)).split()[: rng.randint(1, 120)] + rng.choice(list(rest.text)).split()[: rng.randint(0, 120)]) for _ in range(300)]
+    together, n = langid.mixtures(texts, model)
+    for t, share, words in zip(texts, together, n):
+        alone, m = langid.mixtures([t], model)
+        assert (alone[0] == share).all() and m[0] == words
+
+
+def test_letters_of_all_planes_and_large_alphabets(spark):
+    """Two languages of the same 300 letters beyond the basic plane, told apart by which stand together."""
+    rng = random.Random(3)
+    han = [chr(0x20000 + k) for k in range(300)]
+
+    def text(lang):
+        return " ".join("".join(han[(k * 7 + j * (1 if lang == "x" else 2)) % 300] for j in range(4)) for k in (rng.randrange(300) for _ in range(60)))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["x", "y"] * 40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(model.letters) == 300
+    share, n = langid.mixtures([text("x"), text("y"), han[5]], model)
+    assert [model.languages[k] for k in share[:2].argmax(1)] == ["x", "y"] and n.tolist() == [60, 60, 1]
+
+
+def test_a_second_language_that_does_not_pay_hides_no_third():
+    """The mixture of all gives the most to a language that explains nothing by itself, less to one that does."""
+    names = ("a", "b", "c", "und")
+    n = 400
+    lik = np.full((n, 4), 1e-9)
+    lik[:, 0] = 1.0
+    lik[:, 1] = 0.97  # explains the same words a little worse
+    lik[:30, 0], lik[:30, 1], lik[:30, 2] = 1e-4, 1e-4, 1.0
+    held = langid.word_loglik
+    try:
+        langid.word_loglik = lambda texts, m: (np.log(lik).astype(np.float32), np.array([n]))
+        share, _ = langid.mixtures(["x"], langid.Model(names, *[None] * 8))
+    finally:
+        langid.word_loglik = held
+    assert {names[k] for k in np.flatnonzero(share[0])} == {"a", "c"}
