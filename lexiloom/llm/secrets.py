@@ -107,26 +107,37 @@ def scan_secrets(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id"
 
 
 def mask_secrets(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", length_col: str | None = "n_chars", mask: str = MASK) -> DataFrame:
-    """``docs`` with every flagged candidate of the text masked, and ``length_col`` set to the new length of such texts."""
+    """``docs`` with every flagged candidate of the text masked, and ``length_col`` set to the new length of such texts.
+
+    All other rows and columns stay as they are, a length that was null or wrong among them. No row goes; null and
+    empty texts hold nothing. Without a column ``length_col`` of whole numbers, only texts change.
+    """
     short_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
+    whole = ("byte", "short", "integer", "long")
+    size_at = docs.columns.index(length_col) if length_col in docs.columns and docs.schema[length_col].dataType.typeName() in whole else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(rules)
         for b in batches:
             texts = b.column(at).to_pylist()
-            changed = False
+            changed = []
             for k, t in enumerate(texts):
-                for begin, end in sorted({f[:2] for f in scan(t)}, reverse=True):
+                found = sorted({f[:2] for f in scan(t)}, reverse=True)
+                for begin, end in found:
                     texts[k] = texts[k][:begin] + mask + texts[k][end:]
-                    changed = True
-            yield b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type)) if changed else b
-
-    out = docs.mapInArrow(run, docs.schema)
-    if length_col and length_col in docs.columns:
-        kind = docs.schema[length_col].dataType
-        out = out.withColumn(length_col, F.when(F.contains(F.col(text_col), F.lit(mask)), F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return out
+                if found:
+                    changed.append(k)
+            if changed:
+                b = b.set_column(at, b.schema.field(at), pa.array(texts, b.schema.field(at).type))
+                if size_at is not None:
+                    sizes = b.column(size_at).to_pylist()
+                    for k in changed:
+                        sizes[k] = len(texts[k])
+                    b = b.set_column(size_at, b.schema.field(size_at), pa.array(sizes, b.schema.field(size_at).type))
+            yield b
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def sql(rules: Rules = Rules()) -> str:
