@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, if_small
+
 #: Headers that describe the stored body or one connection: a not-modified answer doesn't change them.
 KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 DROPPED_PARAMS = "^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=.*)?$"
@@ -48,6 +50,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     ``mismatch``, where an ETag (compared weakly), else a Last-Modified date, else a payload digest that both have
     differs; ``no_validator``, where both have none of these in common. Only the first has headers and payload.
     Of responses that share a record_id, a null one included, the greatest payload is taken. Repeated revisits are resolved each.
+    Headers and outcomes are computed when this is called, and kept in a checkpoint, without bodies.
     """
     wanted = records.filter("kind = 'revisit' or (kind = 'response' and status = 200)").select("record_id", "url", "fetched", "kind", "headers")
     light = wanted.select(F.col("record_id").cast("long").alias("record_id"), canonical_url(F.col("url")).alias("canonical_url"), "fetched", (F.col("kind") == "revisit").alias("asks"), lower_headers(F.col("headers")).alias("headers"))
@@ -67,15 +70,17 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     judged = found.withColumn("outcome", outcome)
     fresh = F.map_filter("headers", lambda k, v: ~k.isin(*KEPT))
     base = F.map_filter(F.col("stored.headers"), lambda k, v: ~F.array_contains(F.map_keys(fresh), k))
-    judged = judged.select(
+    key = [F.col("stored.id").isNull().alias("z"), F.coalesce("stored.id", F.lit(0)).alias("i")]
+    # rows without bodies, once: only the bodies that some revisit needs are shuffled, and only once
+    judged = cut(judged.select(
         F.col("record_id").alias("revisit_id"), "canonical_url", F.col("stored.id").alias("response_id"), "outcome",
-        F.when(F.col("outcome") == "resolved", F.map_concat(base, fresh)).alias("headers"),
-    )
-    bodies = records.filter("kind = 'response' and status = 200").select(F.col("record_id").cast("long").alias("__id"), "payload")
+        F.when(F.col("outcome") == "resolved", F.map_concat(base, fresh)).alias("headers"), *key,
+    ))
     needed = judged.filter("outcome = 'resolved'")
-    bodies = bodies.groupBy("__id").agg(F.max("payload").alias("payload"))
-    with_body = needed.join(bodies, F.col("response_id").eqNullSafe(F.col("__id")), "left").drop("__id")
-    return with_body.unionByName(judged.filter("outcome <> 'resolved'").withColumn("payload", F.lit(None).cast(with_body.schema["payload"].dataType)))
+    bodies = records.filter("kind = 'response' and status = 200").select(F.col("record_id").cast("long").isNull().alias("z"), F.coalesce(F.col("record_id").cast("long"), F.lit(0)).alias("i"), "payload")
+    bodies = bodies.join(if_small(needed.select("z", "i").distinct()), ["z", "i"], "left_semi").groupBy("z", "i").agg(F.max("payload").alias("payload"))
+    with_body = needed.join(bodies, ["z", "i"], "left").drop("z", "i")
+    return with_body.unionByName(judged.filter("outcome <> 'resolved'").drop("z", "i").withColumn("payload", F.lit(None).cast(with_body.schema["payload"].dataType)))
 
 
 def page_records(pages: DataFrame) -> DataFrame:

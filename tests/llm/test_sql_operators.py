@@ -79,6 +79,10 @@ def test_secrets_found_and_allowed(spark):
     assert by[1]["text"] == "token = [SECRET]!" and by[1]["n_chars"] == 17
     assert by[2]["text"] == " ".join(quiet) and by[3]["text"] is None and key not in by[6]["text"]
     assert secrets.scan_secrets(df.filter("false")).count() == 0
+    odd = spark.createDataFrame([("a [SECRET] b", 5), (f"[SECRET] {key}", None), (None, 3), ("", None)], "text string, n_chars int")
+    assert [tuple(r) for r in secrets.mask_secrets(odd).collect()] == [("a [SECRET] b", 5), ("[SECRET] [SECRET]", 17), (None, 3), ("", None)]
+    named = spark.createDataFrame([(key, "x")], "text string, n_chars string")
+    assert [tuple(r) for r in secrets.mask_secrets(named).collect()] == [("[SECRET]", "x")]
 
 
 def test_random_secrets_are_flagged():
