@@ -20,6 +20,11 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.later_copies(table(spark, sf_dir, "documents"))
 
 
+def later_copies_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents without what op2 finds."""
+    return suffixes.remove_later_copies(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_filter(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,7 +38,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chroma.align(chroma.fingerprints(chroma.embedding_recordings(table(spark, sf_dir, "embeddings"))))
+    return chroma.linked(chroma.fingerprints(chroma.embedding_notes(table(spark, sf_dir, "embeddings")), samples_col="notes", play=chroma.melody))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +59,7 @@ def op10_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for n, f in globals().items() if n.startswith("op")}
+    return {n: f for n, f in globals().items() if n.startswith("op")} | {"later_copies_removed": later_copies_removed}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import xxhash
 
 
@@ -53,32 +54,90 @@ def near_groups(ids, texts, limit):
     return pairs, {i: find(i) for i in ids if find(i) != i}
 
 
-def alignments(fps, gap, least, error):
-    """(offset, matches, bit errors, bits) of each pair, by comparing all frames of all pairs."""
-
-    def keys(fp):
-        k = [(int(fp[t]), int(fp[t + gap])) for t in range(len(fp) - gap)]
-        return [(t, x) for t, x in enumerate(k) if t == 0 or k[t - 1] != x]
-
-    index: dict = {}
-    for i in sorted(fps):
-        for t, x in keys(fps[i]):
-            index.setdefault(x, []).append((i, t))
-    bars: dict = {}
-    for places in index.values():
-        for i, s in places:
-            for j, t in places:
-                if i < j:
-                    bars.setdefault((i, j), {}).setdefault(s - t, 0)
-                    bars[i, j][s - t] += 1
-    out = {}
-    for (i, j), bar in bars.items():
-        n, offset = max((n, -o) for o, n in bar.items())
-        offset = -offset
-        if n < least:
-            continue
-        both = [(int(fps[i][t]), int(fps[j][t - offset])) for t in range(len(fps[i])) if 0 <= t - offset < len(fps[j])]
-        wrong = sum(((a ^ b) & 0xFFFFFFFF).bit_count() for a, b in both)
-        if both and wrong <= error * 32 * len(both):
-            out[i, j] = (offset, n, wrong, 32 * len(both))
+def wrong_bits(a, b, offset):
+    """Wrong bits and all bits where frame t of ``a`` is frame t - offset of ``b``."""
+    both = [(a[t], b[t - offset]) for t in range(len(a)) if 0 <= t - offset < len(b)]
+    return sum(((int(x) ^ int(y)) & 0xFFFFFFFF).bit_count() for x, y in both), 32 * len(both)
+
+
+def best_alignment(a, b, least_frames):
+    """(share of wrong bits, offset) over all offsets with an overlap of ``least_frames``."""
+    out = (1.0, 0)
+    for offset in range(least_frames - len(b), len(a) - least_frames + 1):
+        begin = max(offset, 0)
+        n = min(len(a), len(b) + offset) - begin
+        wrong = int(np.bitwise_count(a[begin : begin + n] ^ b[begin - offset : begin - offset + n]).sum())
+        out = min(out, (wrong / (32 * n), offset))
     return out
+
+
+def words_of(text):
+    return "".join(c if c.isalpha() else " " for c in (text or "").lower()).split(" ")
+
+
+def trigram_models(labelled):
+    """By language: a function from a word to its log-likelihood. Every letter of all samples is told apart; all others are one more."""
+    grams: dict = {}
+    for lang, text in labelled:
+        for w in filter(None, words_of(text)):
+            w = ["", "", *w, ""]
+            grams.setdefault(lang, Counter()).update(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    letters = {c for g in grams.values() for t in g for c in t if c}
+    n_symbols = len(letters) + 2
+
+    def model(g):
+        one, two, ctx, before = Counter(), Counter(), Counter(), Counter()
+        for (a, b, c), n in g.items():
+            one[c] += n
+            two[b, c] += n
+            ctx[a, b] += n
+            before[b] += n
+        total = sum(one.values()) + 0.5 * n_symbols
+
+        def loglik(w):
+            w = ["", "", *(c if c in letters else "?" for c in w), ""]
+            out = 0.0
+            for a, b, c in (w[i : i + 3] for i in range(len(w) - 2)):
+                p1 = (one[c] + 0.5) / total
+                p2 = (two[b, c] + 8 * p1) / (before[b] + 8)
+                out += math.log((g[a, b, c] + 4 * p2) / (ctx[a, b] + 4))
+            return out
+
+        return loglik
+
+    return {lang: model(g) for lang, g in sorted(grams.items())} | {"und": lambda w: (len(w) + 1) * -math.log(n_symbols)}
+
+
+def mixture(text, models, penalty, tolerance=1e-3, rounds=60):
+    """Shares by language, of the set that grows by the language that raises the likelihood most, while that pays."""
+    words = [w for w in words_of(text) if w]
+    names = list(models)
+    if not words:
+        return {}
+    lik = np.exp(np.array([[m(w) for m in models.values()] for w in words]))
+    top = lik.max(1, keepdims=True)
+    lik = lik / top
+
+    def em(allowed):
+        share = np.array([1.0 if k in allowed else 0.0 for k in range(len(names))]) / len(allowed)
+        for _ in range(rounds):
+            r = lik * share
+            new = (r / r.sum(1, keepdims=True)).mean(0)
+            moved = np.abs(new - share).max()
+            share = new
+            if moved <= tolerance:
+                break
+        return share, np.log((lik * share).sum(1)).sum()
+
+    price = penalty * math.log(len(words) + 1)
+    single = np.log(lik).sum(0)
+    chosen, reached = {int(single.argmax())}, single.max()
+    share = np.eye(len(names))[single.argmax()]
+    full = em(set(range(len(names))))[1]
+    while full - reached > price:
+        tries = [(em(chosen | {k}), k) for k in range(len(names)) if k not in chosen]
+        (s, value), k = max(tries, key=lambda x: (x[0][1], -x[1]))
+        if value - reached <= price:
+            break
+        chosen, reached, share = chosen | {k}, value, s
+    return {names[k]: share[k] for k in chosen if share[k] > 0}

@@ -63,14 +63,42 @@ def test_shifted_and_noisy_copies_are_found(spark):
     assert all(abs(r["bit_errors"] / r["bits"] - wrong(fps[a // 100][a % 100], fps[b // 100][b % 100], r["offset"])) < 1e-9 for (a, b), r in got.items())
 
 
+def test_equal_recordings_are_one_class_and_hot_keys_are_told_apart(spark):
+    rng = np.random.default_rng(4)
+    clip, other = (chroma.fingerprint(chroma.melody(rng.normal(0, 0.15, 60))).view(np.int32).tolist() for _ in range(2))
+    lead = [7] * 20
+    rows = [(i, clip) for i in range(50)] + [(100, lead + other), (101, lead + other[5:]), (102, []), (103, None)]
+    df = spark.createDataFrame(rows, "rec_id long, fp array<int>")
+    got = {(r["rec_a"], r["rec_b"]): r["offset"] for r in chroma.align(df).collect()}
+    assert {(0, i) for i in range(1, 50)} <= set(got) and not any(a > 0 and b < 50 for a, b in got)
+    assert got[100, 101] == 5
+    by = {r["rec_id"]: (r["class_id"], r["links"], r["partner"], r["offset"]) for r in chroma.linked(df).collect()}
+    assert by == {i: (0, 0, None, None) for i in range(50)} | {100: (100, 1, 101, 5), 101: (101, 1, 100, -5)}
+    keyed = spark.createDataFrame([(i, 1, 7, -(i % 2)) for i in range(10)] + [(i, 2, 7, i) for i in range(3)], "id long, key long, t int, far long")
+    keys = [(r["id"], r["key"], r["far"]) for r in chroma.spread_hot(keyed, 5).collect()]
+    assert len({k for _, k, f in keys if f == -1}) == 1 and sorted(i for i, k, _ in keys if k == 2) == [0, 1, 2]
+    assert len({k for _, k, _ in keys}) == 3 and 1 not in {k for _, k, _ in keys}
+
+
+def test_notes_are_neighbours(spark):
+    rows = [(1, [1.0, 2.0], "a"), (2, [3.0], "b"), (4, None, "c"), (None, [9.0], "d"), (2, [5.0], "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, notes string")
+    got = {r["rec_id"]: r["notes"] for r in chroma.embedding_notes(df).collect()}
+    assert got == {1: [1.0, 2.0, 3.0], 2: [3.0], 4: []}
+    assert chroma.embedding_notes(df.filter("false")).count() == 0
+    t = np.arange(5 * chroma.NOTE) / chroma.RATE
+    want = np.sin(2 * np.pi * np.repeat(440.0 * 2 ** ((np.array([12, 16, 23, 0, 11]) - 21) / 12), chroma.NOTE) * t)
+    assert np.abs(chroma.melody(np.array([0, 0.1, 9, -9, -0.001])) - want).max() < 1e-5
+
+
 def test_neighbours_are_found(spark):
     from lexiloom.llm.queries import op6_chroma_fingerprints
 
     out = op6_chroma_fingerprints(spark, DIR).collect()
     n = spark.read.parquet(f"{DIR}/embeddings.parquet").count()
     step = 64 * chroma.NOTE // chroma.HOP
-    right = sum(r["rec_b"] == r["rec_a"] + 1 and r["offset"] == step for r in out)
-    assert right >= 0.9 * (n - 1) and len(out) - right <= 0.02 * n
+    right = sum(r["partner"] - r["rec_id"] == (1 if r["offset"] > 0 else -1) and abs(r["offset"]) == step for r in out)
+    assert len(out) >= 0.95 * n and right >= 0.9 * n and sum(r["links"] for r in out) <= 2.1 * n
 
 
 @pytest.fixture(scope="module")
