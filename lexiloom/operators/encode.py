@@ -31,8 +31,8 @@ def id_lists(ids: np.ndarray, counts: np.ndarray, null: np.ndarray) -> pa.ListAr
     return pa.ListArray.from_arrays(pa.array(ends_of(counts).astype(np.int32), mask=np.append(null, False)), pa.array(ids, pa.int32()))
 
 
-def ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+def schema_with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    return T.StructType([*df.schema.fields, T.StructField(name, kind)])
 
 
 def encode(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "ids", special: bool = True, keep_text: bool = True) -> DataFrame:
@@ -58,7 +58,7 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
                 yield pa.RecordBatch.from_arrays([*[k[0] for k in kept], lists], names=[*[k[1] for k in kept], out_col])
 
     rest = df if keep_text and out_col != text_col else df.drop(text_col)
-    return df.mapInArrow(run, ", ".join(filter(None, [ddl(rest), f"`{out_col}` array<int>"])))
+    return df.mapInArrow(run, schema_with(rest, out_col, T.ArrayType(T.IntegerType())))
 
 
 def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str = "text", binary: bool = False) -> DataFrame:
@@ -71,13 +71,13 @@ def decode(encoded: DataFrame, model: Model, ids_col: str = "ids", out_col: str
         for b in batches:
             col = b.column(at)
             off = col.offsets.to_numpy()
-            flat = col.values.to_numpy()
             null = col.is_null().to_pylist()
-            raw = [None if null[k] else held.value.decode(flat[off[k] : off[k + 1]]) for k in range(b.num_rows)]
+            each = held.value.decode_flat(col.values.slice(off[0], off[-1] - off[0]).to_numpy(), np.diff(off))
+            raw = [None if n else r for n, r in zip(null, each)]
             out = pa.array(raw, pa.binary()) if binary else pa.array([None if r is None else r.decode("utf-8", "replace") for r in raw], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, out], names=[*b.schema.names, out_col])
 
-    return df.mapInArrow(run, f"{ddl(df)}, `{out_col}` {'binary' if binary else 'string'}")
+    return df.mapInArrow(run, schema_with(df, out_col, T.BinaryType() if binary else T.StringType()))
 
 
 def encode_udf(model: Model, special: bool = True) -> Callable[[Column | str], Column]:
@@ -104,20 +104,35 @@ def decode_udf(model: Model) -> Callable[[Column | str], Column]:
     return run
 
 
+def joined_rows(parts: DataFrame, id_col: str, out_col: str) -> DataFrame:
+    """(id, out_col): ids of (id, __h, __pos, __ids) in the order of __pos, one row for each that ``parts`` was made of.
+
+    __h is a hash of the text: rows that share an id but not a text stay apart, and those that share both have
+    equal parts, which are counted. A null __pos is a null text.
+    """
+    key = [F.col(id_col), F.col("__h")]
+    once = parts.groupBy(*key, "__pos").agg(F.count("*").alias("__n"), F.first("__ids").alias("__ids"))
+    rows = once.groupBy(*key).agg(F.max("__n").alias("__n"), F.max(F.col("__pos").isNotNull()).alias("__known"), F.array_sort(F.collect_list(F.struct("__pos", "__ids"))).alias("__x"))
+    whole = F.when(F.col("__known"), F.flatten(F.transform("__x", lambda x: F.coalesce(x["__ids"], F.array().cast("array<int>")))))
+    return rows.select(id_col, whole.alias(out_col), F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(id_col, out_col)
+
+
 def encode_through_dictionary(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """(id, ids): each distinct pretoken is encoded once in the whole corpus, then joined back.
 
     For corpora of few distinct pretokens; ``encode`` shuffles nothing and is the plan of choice elsewhere.
-    Ids have to be unique. Models with added tokens, prefix space or NFC take ``encode``.
+    Ids may be null or repeat; of a null text the ids are null, of an empty one none. Models with added
+    tokens, prefix space or NFC take ``encode``.
     """
     from ..functions.pretokens import pretokenize
 
     if model.added or getattr(model, "prefix_space", True) or model.nfc:
         raise ValueError("this model cuts texts before it pretokenizes; use encode")
-    rows = docs.select(id_col, F.posexplode_outer(pretokenize(text_col, model.scheme)).alias("__pos", "__w"))
-    words = encode(rows.select("__w").filter("__w is not null").distinct(), model, "__w", "__ids")
-    joined = rows.join(words, "__w", "left").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("__pos", "__ids"))).alias("__x"))
-    return joined.select(id_col, F.flatten(F.transform("__x", lambda x: F.coalesce(x["__ids"], F.array().cast("array<int>")))).alias(out_col))
+    # an empty text has one empty piece
+    words = F.when(F.col(text_col) == "", F.array(F.lit(""))).otherwise(pretokenize(text_col, model.scheme))
+    rows = docs.select(id_col, F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("__h"), F.posexplode_outer(words).alias("__pos", "__w"))
+    known = encode(rows.select("__w").filter("__w <> ''").distinct(), model, "__w", "__ids", special=False)
+    return joined_rows(rows.join(known, "__w", "left").drop("__w"), id_col, out_col)
 
 
 def token_totals(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -132,26 +147,20 @@ def token_totals(docs: DataFrame, model: Model, text_col: str = "text") -> DataF
 def encode_giant(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", out_col: str = "ids", target: int = 1 << 20) -> DataFrame:
     """(id, ids) with long texts cut into ranges that are encoded in parallel and put together again.
 
-    The cuts change no ids, except of models whose text is one word, which are refused. Ids have to be unique.
+    The cuts change no ids; models for which no such cut is known are refused: byte-level ones whose text is one
+    word or that add a prefix space, and piece models with tokens that cross into a mark. Ids may be null or
+    repeat; of a null text the ids are null.
     """
-    from ..functions.pretokens import safe_ranges
-
-    if getattr(model, "scheme", None) is None or model.scheme.whole or model.prefix_space:
-        raise ValueError("only byte-level models that split texts and add no prefix space can be cut")
-    added = [(t.content.encode(), t.rstrip) for t in model.added]
+    cut_up = model.safe_parts(target)
 
     @F.pandas_udf("array<string>")
     def cut(texts):
         import pandas as pd
 
-        def one(t):
-            raw = t.encode()
-            return [raw[a:b].decode() for a, b in safe_ranges(raw, target, added)]
-
-        return pd.Series([None if t is None else [t] if len(t) < target else one(t) for t in texts], dtype=object)
+        return pd.Series([None if t is None else [t] if len(t) < target else cut_up(t) for t in texts], dtype=object)
 
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(id_col, F.posexplode_outer(cut(F.col(text_col))).alias("__pos", "__part")).repartition(n, id_col, "__pos")
-    done = encode(rows, model, "__part", "__ids", keep_text=False)
-    joined = done.groupBy(id_col).agg(F.max(F.col("__pos").isNotNull()).alias("__known"), F.array_sort(F.collect_list(F.struct("__pos", "__ids"))).alias("__x"))
-    return joined.select(id_col, F.when(F.col("__known"), F.flatten(F.transform("__x", lambda x: x["__ids"]))).alias(out_col))
+    rows = docs.select(id_col, F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("__h"), F.posexplode_outer(cut(F.col(text_col))).alias("__pos", "__part")).repartition(n, id_col, "__h", "__pos")
+    whole = encode(rows.filter("__pos is null or __pos = 0"), model, "__part", "__ids", keep_text=False)
+    later = encode(rows.filter("__pos > 0"), model.continued(), "__part", "__ids", keep_text=False)
+    return joined_rows(whole.unionByName(later), id_col, out_col)

@@ -88,6 +88,7 @@ def examples(ours: DataFrame, theirs: DataFrame, n: int = 10, token_col: str = "
     lists = (("shared_earliest", a.join(b.select("token"), "token", "left_semi"), ["id"]), ("ours_only_earliest", a.join(b, "token", "left_anti"), ["id"]), ("theirs_only_earliest", b.join(a, "token", "left_anti"), ["id"]), ("ours_only_longest", a.join(b, "token", "left_anti"), [F.desc(F.length("token")), "id"]), ("theirs_only_longest", b.join(a, "token", "left_anti"), [F.desc(F.length("token")), "id"]))
     out = None
     for kind, df, order in lists:
+        order = [*order, "token"]
         top = df.orderBy(*order).limit(n).withColumn("k", F.row_number().over(Window.orderBy(*order))).select(F.lit(kind).alias("kind"), "k", "token")
         out = top if out is None else out.unionAll(top)
     return out
@@ -96,14 +97,25 @@ def examples(ours: DataFrame, theirs: DataFrame, n: int = 10, token_col: str = "
 def running_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with end_byte, the bytes up to the end of each text in the order of ids.
 
-    In two steps, so that no task sees the whole corpus: bytes within ranges of ids, and the sums of the ranges before.
+    Rows of one id come in the order of a hash of their texts, and rows without an id last, in that order. In two
+    steps, so that no task sees the whole corpus: bytes within ranges, and the sums of the ranges before. The
+    ranges are cut at quantiles of the ids, found by a job that runs at once; those without an id by their hashes.
+    An ``end_byte`` that is there is replaced.
     """
+    docs = docs.drop("end_byte")
+    parts = min(512, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shares = [k / parts for k in range(1, parts)]
+    cuts = (docs.agg(F.percentile_approx(id_col, shares, 10_000)).first()[0] if shares else None) or []
     n = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    sized = docs.withColumn("__n", n).withColumn("__range", F.floor(F.col(id_col) / 4096))
-    sums = sized.groupBy("__range").agg(F.sum("__n").alias("__all"))
+    sized = docs.withColumn("__n", n).withColumn("__h", F.xxhash64(text_col))
+    known = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col(id_col))) if cuts else F.lit(0)
+    # the hash's upper 9 bits, from the least number on
+    nameless = F.shiftrightunsigned(F.col("__h").bitwiseXOR(F.lit(-(2**63))), 55).cast("int") + len(cuts) + 1
+    sized = sized.withColumn("__range", F.when(F.col(id_col).isNull(), nameless).otherwise(known))
+    sums = sized.groupBy("__range").agg(F.sum("__n").alias("__all"))  # at most 1,024 ranges
     before = sums.withColumn("__before", F.coalesce(F.sum("__all").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__all")
-    inside = F.sum("__n").over(Window.partitionBy("__range").orderBy(id_col).rowsBetween(Window.unboundedPreceding, 0))
-    return sized.withColumn("__inside", inside).join(before, "__range").withColumn("end_byte", F.col("__before") + F.col("__inside")).drop("__n", "__range", "__inside", "__before")
+    inside = F.sum("__n").over(Window.partitionBy("__range").orderBy(F.col(id_col).asc_nulls_last(), "__h").rowsBetween(Window.unboundedPreceding, 0))
+    return sized.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn("end_byte", F.col("__before") + F.col("__inside")).drop("__n", "__h", "__range", "__inside", "__before")
 
 
 def train_eval_split(docs: DataFrame, train_bytes: int, eval_bytes: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

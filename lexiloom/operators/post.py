@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .checkpoint import cut
+
 
 def ints(values: Sequence[int]) -> Column:
     return F.array(*[F.lit(int(v)) for v in values]).cast("array<int>")
@@ -58,8 +60,8 @@ def pad_truncate(df: DataFrame, options: PadTruncate, ids_col: str = "ids", batc
     """``df`` with input_ids, attention_mask and length.
 
     Rows are padded to max_length, or to the longest of the DataFrame, or of its batch if ``batch_col`` is given.
-    A row over max_length without truncation raises. Null ids count as none. The longest row is found
-    by an aggregate before the rows are padded, one pass for the whole DataFrame.
+    A row over max_length without truncation raises. Null ids count as none. Where the longest row has to be found, the
+    rows are kept in a checkpoint first, by a job that runs at once, so that nothing is encoded twice.
     """
     o = options
     extra = len(o.prefix) + len(o.suffix)
@@ -70,8 +72,10 @@ def pad_truncate(df: DataFrame, options: PadTruncate, ids_col: str = "ids", batc
         long = F.raise_error(F.concat(F.lit("a sequence has "), F.col("length").cast("string"), F.lit(f" ids, which is more than max_length {o.max_length}, and truncation is off")))
         out = out.withColumn("__width", F.when(F.col("length") > o.max_length, long.cast("int")).otherwise(o.max_length))
     elif batch_col is None:
+        out = cut(out)  # two passes over the ids, one over the texts
         out = out.crossJoin(out.agg(F.max("length").alias("__width")))
     else:
+        out = cut(out)
         widths = out.groupBy(F.col(batch_col).alias("__batch")).agg(F.max("length").alias("__width"))
         out = out.join(widths, F.col(batch_col).eqNullSafe(F.col("__batch"))).drop("__batch")
     gap = F.col("__width") - F.col("length")

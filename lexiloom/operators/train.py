@@ -28,7 +28,8 @@ from ..sources.readers import Source, as_documents, as_separator, resolve
 
 TIES = ("huggingface", "raw_token_ids", "assembled_bytes")
 SEPARATOR = "<|endoftext|>"
-DRIVER_WORDS = 5_000_000
+#: The driver merges distinct words of so many bytes in all, which take it some fifty times as much memory.
+DRIVER_BYTES = 16 << 20
 
 
 def count_pairs(words: DataFrame) -> DataFrame:
@@ -282,13 +283,13 @@ def corpus(spark: SparkSession, data, separator: str | bytes | None) -> DataFram
     elif isinstance(data, (bytes, bytearray, str)) and not (isinstance(data, str) and os.path.exists(data)):
         from ..sources.readers import BytesSource
 
-        docs = BytesSource(data).documents(spark)
+        docs = BytesSource(data).training_documents(spark)
     elif isinstance(data, Source):
         docs = data.training_documents(spark)
     else:
         docs = as_documents(spark, resolve(data))
     sep = as_separator(separator)
-    docs = docs.select("text").filter("text is not null")
+    docs = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     return docs.select(F.explode(split_documents("text", sep)).alias("text")) if sep else docs
 
 
@@ -304,14 +305,14 @@ def collect_counts(counts: DataFrame, col: str, codec: str) -> tuple[list[bytes]
 
 
 def run_stage(counts: DataFrame, tokens: list[bytes], size: int, rule: str, limit: int, model: ByteModel | None, col: str, codec: str, where: str) -> list[tuple[int, int]]:
-    """One stage's merges. ``where``: driver, table, or auto (by the number of distinct words)."""
+    """One stage's merges. ``where``: driver, table, or auto (by the bytes of the distinct words)."""
     if where not in ("auto", "driver", "table"):
         raise ValueError(f"where is 'auto', 'driver' or 'table', not {where!r}")
     if where == "auto":
         from .checkpoint import cut
 
         counts = cut(counts)
-        where = "driver" if counts.count() <= limit else "table"
+        where = "driver" if (counts.agg(F.sum(F.octet_length(col))).first()[0] or 0) <= limit else "table"
     if where == "driver":
         words, n = collect_counts(counts, col, codec)
         if model is None:
@@ -341,13 +342,13 @@ def train_bpe(
     spark: SparkSession | None = None,
     text_col: str = "text",
     where: str = "auto",
-    driver_words: int = DRIVER_WORDS,
+    driver_bytes: int = DRIVER_BYTES,
 ) -> Trained:
     """Ids 0-255 are the bytes, then the special tokens as given, then merges, up to ``vocab_size`` ids.
 
     ``data``: a DataFrame, a source, paths, or text. Of equally frequent pairs ``tie_breaking`` decides, so that the
     result doesn't depend on the partitioning. Special tokens are not looked for in the corpus. Training ends
-    early when no pair occurs any more. Up to ``driver_words`` distinct pretokens the driver merges.
+    early when no pair occurs any more. Distinct pretokens of up to ``driver_bytes`` bytes are merged on the driver, more in a table; the merges are the same.
     """
     spark = data.sparkSession if isinstance(data, DataFrame) else spark or SparkSession.active()
     docs = corpus(spark, data.select(F.col(text_col).alias("text")) if isinstance(data, DataFrame) else data, separator)
@@ -355,7 +356,7 @@ def train_bpe(
     tokens = start(special_tokens)
     TieBreak(tie_breaking, tokens)
     began = time.time()
-    merges = run_stage(pretoken_counts(docs, scheme), tokens, vocab_size, tie_breaking, driver_words, None, "pretoken", "utf-8", where)
+    merges = run_stage(pretoken_counts(docs, scheme), tokens, vocab_size, tie_breaking, driver_bytes, None, "pretoken", "utf-8", where)
     return Trained(tokens, [(tokens[a], tokens[b]) for a, b in merges], list(special_tokens), scheme.name, timings={"stage1": time.time() - began})
 
 
@@ -371,7 +372,7 @@ def train_superbpe(
     spark: SparkSession | None = None,
     text_col: str = "text",
     where: str = "auto",
-    driver_words: int = DRIVER_WORDS,
+    driver_bytes: int = DRIVER_BYTES,
     timings: dict | None = None,
 ) -> Trained:
     """Up to ``transition_point`` ids as train_bpe; from there on merges may cross white space.
@@ -383,13 +384,13 @@ def train_superbpe(
         raise ValueError(f"transition_point {transition_point} is beyond vocab_size {vocab_size}")
     spark = data.sparkSession if isinstance(data, DataFrame) else spark or SparkSession.active()
     docs = corpus(spark, data.select(F.col(text_col).alias("text")) if isinstance(data, DataFrame) else data, separator)
-    first = train_bpe(docs, transition_point, special_tokens, tie_breaking, None, pretokenizer, where=where, driver_words=driver_words)
+    first = train_bpe(docs, transition_point, special_tokens, tie_breaking, None, pretokenizer, where=where, driver_bytes=driver_bytes)
     began = time.time()
     tokens = first.tokens
     merges = []
     if vocab_size > len(tokens):
         units = unit_counts(docs, max_unit_len)
-        merges = run_stage(units, tokens, vocab_size, tie_breaking, driver_words, first.model(), "unit", "latin-1", where)
+        merges = run_stage(units, tokens, vocab_size, tie_breaking, driver_bytes, first.model(), "unit", "latin-1", where)
     out = Trained(tokens, first.merges + [(tokens[a], tokens[b]) for a, b in merges], list(special_tokens), first.scheme, transition_point, first.timings | {"stage2": time.time() - began})
     if timings is not None:
         timings.update(out.timings)

@@ -16,8 +16,8 @@ class Charsmap:
         self.texts = blob[4 + size :]
         self.seen: dict[str, str | None] = {}
 
-    def longest(self, key: bytes) -> tuple[int, int] | None:
-        """The length of the longest prefix of ``key`` that the trie holds, and its value."""
+    def longest(self, key: bytes, start: int = 0) -> tuple[int, int] | None:
+        """The length of the longest prefix of ``key`` from ``start`` on that the trie holds, and its value."""
         units, found = self.units, None
         if not units:
             return None
@@ -26,7 +26,8 @@ class Charsmap:
             return (u >> 10) << ((u & (1 << 9)) >> 6)
 
         at = offset(units[0])
-        for k, b in enumerate(key):
+        for k in range(start, len(key)):
+            b = key[k]
             at ^= b
             if b == 0 or at >= len(units):
                 break
@@ -35,7 +36,7 @@ class Charsmap:
                 break
             at ^= offset(u)
             if u >> 8 & 1:
-                found = k + 1, units[at] & 0x7FFFFFFF
+                found = k + 1 - start, units[at] & 0x7FFFFFFF
         return found
 
     def value(self, at: int) -> str:
@@ -47,7 +48,7 @@ class Charsmap:
         out, at = [], 0
         size = {**{b: 1 for b in range(0x80)}, **{b: 2 for b in range(0xC0, 0xE0)}, **{b: 3 for b in range(0xE0, 0xF0)}, **{b: 4 for b in range(0xF0, 0x100)}}
         while at < len(raw):
-            found = self.longest(raw[at : at + 64])
+            found = self.longest(raw, at)
             if found:
                 out.append(self.value(found[1]))
                 at += found[0]
@@ -56,3 +57,7 @@ class Charsmap:
                 out.append(raw[at : at + n].decode("utf-8", "surrogateescape"))
                 at += n
         return "".join(out)
+
+    def joins_spaces(self) -> bool:
+        """Whether a key begins with a space, or with a letter of ASCII and goes on with a space."""
+        return self.longest(b" ") is not None or any(self.longest(bytes([c]) + b" ") is not None for c in b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 import numpy as np
 
-from ..functions.pretokens import splitter
+from ..functions.pretokens import safe_ranges, splitter
 from ..functions.schemes import Scheme
 from .kernels import PairTable, ends_of, merge_words, spread
 
@@ -206,9 +206,18 @@ class Model:
         return a
 
     def decode_flat(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+        """The bytes of each of the rows that ``ids`` holds one after the other."""
         begin = ends_of(counts)
         return [self.decode(ids[begin[k] : begin[k + 1]]) for k in range(len(counts))]
 
+    def safe_parts(self, target: int) -> Callable[[str], list[str]]:
+        """A function that cuts a text into parts of some ``target`` characters or bytes, whose ids joined are the text's."""
+        raise ValueError("no cut is known that changes no ids of this model")
+
+    def continued(self) -> Model:
+        """The model of what follows such a cut."""
+        return self
+
 
 UNITS = Scheme("units", (r"(?s).(?:(?!(?<=\S) ).)*",))
 
@@ -301,11 +310,28 @@ class ByteModel(Model):
         return merge_words(symbols, lengths, self.pairs, self.lookup)
 
     def decode(self, ids: Sequence[int]) -> bytes:
+        return self.decode_flat(self.checked(ids), np.array([len(ids)]))[0]
+
+    def decode_flat(self, ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
         a = self.checked(ids)
         raw, at = self.flat_tokens
         if a.size and a.max() >= len(at) - 1:
             raise IndexError(f"token id {a.max()} is outside the vocabulary of {len(at) - 1}")
-        return raw[spread(at[a], at[a + 1] - at[a])].tobytes()
+        size = at[a + 1] - at[a]
+        flat = raw[spread(at[a], size)].tobytes()
+        ends = ends_of(size)[ends_of(counts)].tolist()
+        return [flat[x:y] for x, y in zip(ends, ends[1:])]
+
+    def safe_parts(self, target: int) -> Callable[[str], list[str]]:
+        if self.scheme.whole or self.prefix_space:
+            return super().safe_parts(target)
+        added = [(t.content.encode(), t.rstrip) for t in self.added]
+
+        def parts(t: str) -> list[str]:
+            raw = t.encode("utf-8", "surrogatepass")
+            return [raw[a:b].decode("utf-8", "surrogatepass") for a, b in safe_ranges(raw, target, added)]
+
+        return parts
 
 
 @dataclass(frozen=True)
@@ -390,6 +416,26 @@ class PieceModel(Model):
                 first = False
         return out
 
+    def safe_parts(self, target: int) -> Callable[[str], list[str]]:
+        """Cuts come before a space between ASCII letters: no normalizer, added token or merge reaches over it."""
+        if self.safe_cut is None or any(" " in t.content or t.rstrip or t.lstrip for t in self.added) or any(op[0] == "replace" and len(op[1]) > 1 and " " in op[1] for op in self.normalizers) or any(op[0] == "charsmap" and self.charsmaps[op[1]].joins_spaces() for op in self.normalizers):
+            return super().safe_parts(target)
+        spaced = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")
+
+        def parts(t: str) -> list[str]:
+            out, at = [], 0
+            while m := spaced.search(t, at + target):
+                out.append(t[at : m.start()])
+                at = m.start()
+            return [*out, t[at:]]
+
+        return parts
+
+    def continued(self) -> PieceModel:
+        """After a cut there is a space already: nothing is put before it, and nothing taken from its left."""
+        ops = tuple(("strip", False, op[2]) if op[0] == "strip" else op for op in self.normalizers if op[0] != "prepend")
+        return replace(self, normalizers=ops, prepend="never" if self.prepend is not None else None)
+
     def encode_as_it_is(self, text: str) -> np.ndarray:
         """Without added tokens, normalizers and Metaspace."""
         return self.encode_words([text])[0]

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,9 +21,10 @@ from .operators import encode as E
 from .operators import evaluate as V
 from .operators import post as O
 from .operators import train as R
+from .operators.checkpoint import shared_folder
 from .plans.kernels import PairTable
 from .plans.model import AddedToken, ByteModel
-from .sources.readers import BytesSource, JsonlSource, ParquetSource, TextSource
+from .sources.readers import BytesSource, JsonlSource, ParquetSource, TextSource, spread
 from .streaming import stream as S
 from .tokenizer import Tokenizer
 
@@ -31,6 +34,8 @@ INNER = r"\t\x{0B}\x{0C} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 MARK = ""
 FORBIDDEN = ("the", "http", "token = ", "<|endoftext|>", "idiot")
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+#: One vocabulary as a tokenizer.json and as ranks.
+VOCAB, RANKS = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
 def quoted(s: str) -> str:
@@ -51,14 +56,57 @@ def counts_sql(scheme: str, table: str = "documents", text: str = "text", where:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def folder(spark: SparkSession) -> str:
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexiloom-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def ids_sql(table: str = "documents", key: str = "doc_id", text: str = "text", ranks: str = RANKS) -> str:
+    """Common table expressions up to encoded(key, ids): token ids by merging, in each distinct word, the pair of the least rank until none is left."""
+    keys = ", ".join(f"t.{k.strip()}" for k in key.split(","))
+    return f"""WITH RECURSIVE ranks AS (
+  SELECT hex(from_base64(t)) AS tok, r FROM read_csv({quoted(ranks)}, delim=' ', header=false, quote='', escape='', columns={{'t': 'VARCHAR', 'r': 'INTEGER'}})),
+pieces AS (SELECT {key}, pos, p[pos] AS w FROM (SELECT {key}, p, unnest(range(1, len(p) + 1)) AS pos FROM (SELECT {key}, {split_sql("gpt2", text)} AS p FROM {table}))),
+unmerged AS (SELECT w, '|' || array_to_string(list_transform(range(1, length(h), 2), lambda i: substr(h, i, 2)), '||') || '|' AS s FROM (SELECT w, hex(encode(w)) AS h FROM (SELECT DISTINCT w FROM pieces))),
+steps(w, s, n) AS (
+  SELECT w, s, 0 FROM unmerged
+  UNION ALL
+  SELECT w, replace(s, '|' || best.a || '||' || best.b || '|', '|' || best.a || best.b || '|'), n + 1
+  FROM (SELECT w, s, n, arg_min({{'a': a, 'b': b}}, r) AS best
+    FROM (SELECT w, s, n, l[i] AS a, l[i + 1] AS b FROM (SELECT *, unnest(range(1, len(l))) AS i FROM (SELECT *, string_split(trim(s, '|'), '||') AS l FROM steps)))
+    JOIN ranks ON tok = a || b GROUP BY w, s, n)),
+merged AS (SELECT w, string_split(trim(arg_max(s, n), '|'), '||') AS l FROM steps GROUP BY w),
+word_ids AS (SELECT w, list(r ORDER BY i) AS ids FROM (SELECT w, l[i] AS tok, i FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM merged)) JOIN ranks USING (tok) GROUP BY w),
+encoded AS (
+  SELECT {keys}, coalesce(got, []) AS ids FROM {table} t
+  LEFT JOIN (SELECT {key}, flatten(list(ids ORDER BY pos)) AS got FROM pieces JOIN word_ids USING (w) GROUP BY {key}) g USING ({key}))"""
+
+
+def merges_sql(merges: int, specials: int = 1) -> str:
+    """(rank, l, r) of so many merges: of all pairs of neighbours the most frequent, of equals the one of the least ids, is merged everywhere."""
+    return f"""WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS w, count AS n, '|' || array_to_string(list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::INTEGER::VARCHAR), '||') || '|' AS s
+  FROM (SELECT hex(encode(pretoken)) AS h, count FROM ({counts_sql("gpt2")}))),
+steps(w, n, s, l, r) USING KEY (w) AS (
+  SELECT w, n, s, NULL::INTEGER, NULL::INTEGER FROM words
+  UNION
+  SELECT unnest(CASE WHEN w = first THEN [w, -it - 1] ELSE [w] END), n, replace(s, '|' || a || '||' || b || '|', '|' || ({256 + specials} + it) || '|'), a, b
+  FROM recurring.steps, (
+    SELECT a, b, it, first FROM (
+      SELECT l[i]::INTEGER AS a, l[i + 1]::INTEGER AS b, sum(n) AS total, min(w) AS first FROM (
+        SELECT *, unnest(range(1, len(l))) AS i FROM (SELECT w, n, string_split(trim(s, '|'), '||') AS l FROM recurring.steps WHERE w > 0))
+      GROUP BY ALL), (SELECT count(*) AS it FROM recurring.steps WHERE w < 0)
+    ORDER BY total DESC, a, b LIMIT 1)
+  WHERE w > 0 AND contains(s, '|' || a || '||' || b || '|') AND it < {merges})
+SELECT (-w - 1)::INTEGER AS rank, l, r FROM steps WHERE w < 0"""
+
+
+@lru_cache(maxsize=1)
+def published() -> Tokenizer:
+    """A public byte-level vocabulary of 50,257 ids."""
+    return Tokenizer(VOCAB)
 
 
 def byte_model(*added: AddedToken) -> ByteModel:
@@ -183,9 +231,17 @@ def trained(spark, d, size: int = 320, **more) -> R.Trained:
     return R.train_bpe(table(spark, d, "documents"), size, ["<|endoftext|>"], **more)
 
 
-@query("train_bpe")
+def merge_ids(got: R.Trained, spark: SparkSession) -> DataFrame:
+    """(rank, l, r): the merges by ids."""
+    m = got.merges_df(spark)
+    ids = got.vocab_df(spark).filter(~F.col("id").between(256, 255 + len(got.specials))).groupBy("token").agg(F.min("id").alias("id"))
+    side = lambda c: ids.select(F.col("token").alias(c), F.col("id").alias(c[0]))
+    return m.join(side("left"), "left").join(side("right"), "right").select("rank", "l", "r")
+
+
+@query("train_bpe", merges_sql(300))
 def train_bpe(spark, d):
-    return trained(spark, d).merges_df(spark)
+    return merge_ids(trained(spark, d, 557, tie_breaking="raw_token_ids"), spark)
 
 
 @query("train_bpe_first_merge", f"SELECT 0 AS rank, l, r FROM ({PAIRS}) ORDER BY count DESC, l, r LIMIT 1")
@@ -195,9 +251,9 @@ def _(spark, d):
     return m.select("rank", code("left").alias("l"), code("right").alias("r"))
 
 
-@query("train_bpe_over_table")
+@query("train_bpe_over_table", merges_sql(20))
 def _(spark, d):
-    return trained(spark, d, 262, where="table").merges_df(spark)
+    return merge_ids(trained(spark, d, 277, tie_breaking="raw_token_ids", where="table"), spark)
 
 
 @query("train_superbpe")
@@ -243,6 +299,23 @@ def _(spark, d):
     return E.encode(table(spark, d, "documents").select("doc_id", "text"), byte_model(), keep_text=False)
 
 
+@query("encode_ids", f"{ids_sql()} SELECT doc_id, ids FROM encoded")
+def encode_ids(spark, d):
+    return E.encode(table(spark, d, "documents").select("doc_id", "text"), published().model, special=False, keep_text=False)
+
+
+@query("encode_through_dictionary_ids", f"{ids_sql('conversations', 'conv_id, turn')} SELECT conv_id * 1000 + turn AS doc_id, ids FROM encoded")
+def _(spark, d):
+    model = replace(published().model, added=())
+    rows = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return E.encode_through_dictionary(rows, model)
+
+
+@query("encode_giant_ids", f"{ids_sql()} SELECT doc_id, ids FROM encoded")
+def _(spark, d):
+    return E.encode_giant(table(spark, d, "documents"), replace(published().model, added=()), target=2000)
+
+
 @query("encode_through_dictionary", DOCS)
 def _(spark, d):
     model = R.train_bpe(table(spark, d, "documents"), 320).model()
@@ -255,15 +328,16 @@ def _(spark, d):
     return tok.decode_df(E.encode_giant(table(spark, d, "documents"), tok.model, target=2000)).select("doc_id", "text")
 
 
-@query("encode_files", "SELECT sum(octet_length(encode(text)))::BIGINT AS bytes, count(*) AS docs FROM documents")
+@query("encode_files", f"{ids_sql()} SELECT sum(len(ids))::BIGINT AS tokens, sum(list_sum(ids))::BIGINT AS sum_of_ids, count(*) AS docs FROM encoded")
 def _(spark, d):
-    ids = Tokenizer(byte_model()).encode_files(ParquetSource(f"{d}/documents.parquet"), spark)
-    return ids.agg(F.sum(F.size("ids")).alias("bytes"), F.count("*").alias("docs"))
+    ids = published().encode_files(ParquetSource(f"{d}/documents.parquet"), spark)
+    whole = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return ids.agg(F.sum(F.size("ids")).alias("tokens"), F.sum(whole).alias("sum_of_ids"), F.count("*").alias("docs"))
 
 
-@query("encode_udf", "SELECT doc_id, octet_length(encode(text))::INTEGER AS n FROM documents")
+@query("encode_udf", f"{ids_sql()} SELECT doc_id, len(ids)::INTEGER AS n FROM encoded")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(E.encode_udf(byte_model())("text")).alias("n"))
+    return table(spark, d, "documents").select("doc_id", F.size(E.encode_udf(published().model)("text")).alias("n"))
 
 
 @query("special_tokens_split", "SELECT doc_id, (len(string_split(text, 'the')) - 1)::INTEGER AS found, (octet_length(encode(text)) - 3 * (len(string_split(text, 'the')) - 1))::INTEGER AS rest FROM documents")
@@ -282,35 +356,39 @@ def _(spark, d):
     return n.join(size, "id").groupBy("lang").agg(F.sum(F.col("count") * F.col("size")).alias("bytes"))
 
 
-@query("token_totals", f"SELECT sum(count)::BIGINT AS pretokens, sum(count * octet_length(encode(pretoken)))::BIGINT AS tokens, sum(count * octet_length(encode(pretoken)))::BIGINT AS bytes FROM ({counts_sql('gpt2')})")
+@query("token_totals", f"{ids_sql()} SELECT (SELECT count(*) FROM pieces) AS pretokens, sum(len(ids))::BIGINT AS tokens, (SELECT sum(octet_length(encode(text))) FROM documents)::BIGINT AS bytes FROM encoded")
 def _(spark, d):
-    return E.token_totals(table(spark, d, "documents"), byte_model())
+    return E.token_totals(table(spark, d, "documents"), published().model)
 
 
 # what comes after
 
-@query("pad_truncate", """
-WITH r AS (SELECT doc_id, least(octet_length(encode(text)), 98)::INTEGER AS kept, hex(encode(text)) AS h FROM documents)
-SELECT doc_id, (kept + 2)::INTEGER AS length, list_concat([1], list_transform(range(0, kept), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::INTEGER), [2], list_transform(range(0, 98 - kept), lambda i: 0)) AS input_ids,
+@query("pad_truncate", f"""{ids_sql()},
+r AS (SELECT doc_id, least(len(ids), 98) AS kept, ids[1:98] AS ids FROM encoded)
+SELECT doc_id, (kept + 2)::INTEGER AS length, list_concat([1], ids, [2], list_transform(range(0, 98 - kept), lambda i: 0)) AS input_ids,
   list_concat(list_transform(range(0, kept + 2), lambda i: 1), list_transform(range(0, 98 - kept), lambda i: 0)) AS attention_mask FROM r""")
 def _(spark, d):
-    ids = E.encode(table(spark, d, "documents").select("doc_id", "text"), byte_model(), keep_text=False)
     o = O.PadTruncate(0, 100, True, True, prefix=(1,), suffix=(2,))
-    return O.pad_truncate(ids, o).select("doc_id", "length", "input_ids", "attention_mask")
+    return O.pad_truncate(encode_ids(spark, d), o).select("doc_id", "length", "input_ids", "attention_mask")
+
+
+@query("pad_to_longest", f"{ids_sql('benchmark', 'item_id')} SELECT item_id, len(ids)::INTEGER AS length, list_concat(ids, list_transform(range(len(ids), (SELECT max(len(ids)) FROM encoded)), lambda i: 0)) AS input_ids FROM encoded")
+def _(spark, d):
+    ids = E.encode(table(spark, d, "benchmark").select("item_id", "text"), published().model, special=False, keep_text=False)
+    return O.pad_truncate(ids, O.PadTruncate(0)).select("item_id", "length", "input_ids")
 
 
-@query("pad_to_longest_of_batch", "SELECT conv_id, turn, octet_length(encode(text))::INTEGER AS length, (max(octet_length(encode(text))) OVER (PARTITION BY conv_id))::INTEGER AS width, octet_length(encode(text))::INTEGER AS ones FROM conversations")
+@query("pad_to_longest_of_batch", f"{ids_sql('conversations', 'conv_id, turn')} SELECT conv_id, turn, len(ids)::INTEGER AS length, (max(len(ids)) OVER (PARTITION BY conv_id))::INTEGER AS width, len(ids)::INTEGER AS ones FROM encoded")
 def _(spark, d):
-    ids = E.encode(table(spark, d, "conversations").select("conv_id", "turn", "text"), byte_model(), keep_text=False)
+    ids = E.encode(table(spark, d, "conversations").select("conv_id", "turn", "text"), published().model, special=False, keep_text=False)
     out = O.pad_truncate(ids, O.PadTruncate(0, pad_left=True), batch_col="conv_id")
     return out.select("conv_id", "turn", "length", F.size("input_ids").alias("width"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("ones"))
 
 
-@query("wrap_truncate", "SELECT doc_id, least(octet_length(encode(text)), 10)::INTEGER + 1 AS n, ('0x' || right(hex(encode(text)), 2))::INTEGER AS last FROM documents WHERE text <> ''")
+@query("wrap_truncate", f"{ids_sql()} SELECT doc_id, list_concat([1], ids[-10:]) AS ids FROM encoded WHERE len(ids) > 0")
 def _(spark, d):
-    ids = E.encode(table(spark, d, "documents").select("doc_id", "text").filter("text <> ''"), byte_model(), keep_text=False)
     row = O.wrap_truncate("ids", prefix=[1], max_tokens=10, truncate_left=True)
-    return ids.select("doc_id", F.size(row).alias("n"), F.element_at(row, -1).alias("last"))
+    return encode_ids(spark, d).filter(F.size("ids") > 0).select("doc_id", row.alias("ids"))
 
 
 @query("forbidden_special_scan", " UNION ALL ".join(f"SELECT {quoted(p)} AS pattern, count(*) FILTER (contains(text, {quoted(p)})) AS documents FROM documents" for p in FORBIDDEN))
@@ -325,9 +403,9 @@ def _(spark, d):
 
 # evaluation
 
-@query("bytes_per_token", "SELECT source, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(octet_length(encode(text)))::BIGINT AS tokens, CASE WHEN sum(octet_length(encode(text))) > 0 THEN 1.0::DOUBLE ELSE 0.0 END AS bytes_per_token FROM documents GROUP BY source")
+@query("bytes_per_token", f"{ids_sql()} SELECT source, sum(octet_length(encode(text)))::BIGINT AS bytes, sum(len(ids))::BIGINT AS tokens, round(sum(octet_length(encode(text)))::DOUBLE / sum(len(ids)), 4) AS bytes_per_token FROM documents JOIN encoded USING (doc_id) GROUP BY source")
 def _(spark, d):
-    ids = E.encode(table(spark, d, "documents").select("source", "text"), byte_model())
+    ids = E.encode(table(spark, d, "documents").select("source", "text"), published().model, special=False)
     return V.bytes_per_token(ids, "text", "ids", "source")
 
 
@@ -382,37 +460,40 @@ def _(spark, d):
 
 
 def word_pairs(spark, d, lang: str) -> DataFrame:
-    """Lines' first two words as tokens with a space in them, and their first words."""
-    first = table(spark, d, "documents").filter(F.col("lang") == lang).select("doc_id", F.split("text", " ").alias("w"))
-    two = first.select(F.explode(F.array(F.concat_ws(" ", F.slice("w", 1, 2)), F.element_at("w", 1))).alias("token"), "doc_id")
-    return two.groupBy("token").agg(F.min("doc_id").alias("id"))
+    """A vocabulary with spaces in its tokens: what spaces part in the whole texts, and all neighbours of these with the space between; id: the least doc_id."""
+    w = table(spark, d, "documents").filter(F.col("lang") == lang).select("doc_id", F.split("text", " ").alias("w"))
+    two = F.expr("concat(w, transform(sequence(1, size(w)), i -> if(i < size(w), concat(w[i - 1], ' ', w[i]), null)))")
+    return w.select("doc_id", F.explode(two).alias("token")).filter("token is not null").groupBy("token").agg(F.min("doc_id").alias("id"))
 
 
 def word_pairs_sql(lang: str) -> str:
-    return f"(SELECT token, min(doc_id) AS id FROM (SELECT unnest([array_to_string(w[1:2], ' '), w[1]]) AS token, doc_id FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE lang = {quoted(lang)})) GROUP BY token)"
+    words = f"(SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE lang = {quoted(lang)})"
+    return f"(SELECT token, min(doc_id) AS id FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS token FROM {words}) GROUP BY token)"
 
 
-LATIN = "octet_length(encode(token))"
+def as_hex(df: DataFrame) -> DataFrame:
+    """Tokens of a character a byte as hexadecimal numbers."""
+    return df.withColumn("token", F.hex(F.encode("token", "ISO-8859-1")))
+
+
+SIZE, BYTES = "octet_length(encode(token))", "hex(encode(token))"
 
 
 @query("vocab_summary", f"""
-WITH v AS (SELECT token, {LATIN} AS n, {SUPER} AS s, len(string_split(trim(token, ' '), ' ')) AS w FROM {word_pairs_sql("en")})
+WITH v AS (SELECT token, {SIZE} AS n, {SUPER} AS s, len(string_split(trim(token, ' '), ' ')) AS w FROM {word_pairs_sql("en")})
 SELECT count(*) AS vocab_size, count(*) FILTER (s) AS n_superwords, round(count(*) FILTER (s) / count(*), 4) AS superword_fraction, round(sum(n) / count(*), 2) AS mean_token_len,
   round(sum(n) FILTER (s) / count(*) FILTER (s), 2) AS mean_superword_len, max(n) FILTER (s)::INTEGER AS max_superword_len, round(sum(w) FILTER (s) / count(*) FILTER (s), 2) AS mean_words_per_superword FROM v""")
 def _(spark, d):
     return V.vocab_summary(word_pairs(spark, d, "en"))
 
 
-@query("longest_superwords", f"SELECT token, length(token)::INTEGER AS bytes FROM {word_pairs_sql('en')} WHERE {SUPER} ORDER BY bytes DESC, token LIMIT 12")
+@query("longest_superwords", f"SELECT {BYTES} AS token, {SIZE}::INTEGER AS bytes FROM {word_pairs_sql('en')} WHERE {SUPER} ORDER BY 2 DESC, 1 LIMIT 12")
 def _(spark, d):
-    return V.longest_superwords(word_pairs(spark, d, "en").filter(F.length("token") == F.octet_length("token")))
-
-
-SQL["longest_superwords"] = f"SELECT token, length(token)::INTEGER AS bytes FROM {word_pairs_sql('en')} WHERE {SUPER} AND length(token) = {LATIN} ORDER BY bytes DESC, token LIMIT 12"
+    return as_hex(V.longest_superwords(word_pairs(spark, d, "en")))
 
 
 @query("vocab_examples", f"""
-WITH a AS (SELECT * FROM {word_pairs_sql("en")} WHERE {SUPER} AND length(token) = {LATIN}), b AS (SELECT * FROM {word_pairs_sql("fr")} WHERE {SUPER} AND length(token) = {LATIN}),
+WITH a AS (SELECT {BYTES} AS token, id FROM {word_pairs_sql("en")} WHERE {SUPER}), b AS (SELECT {BYTES} AS token, id FROM {word_pairs_sql("fr")} WHERE {SUPER}),
 k AS (SELECT 'shared_earliest' AS kind, token, row_number() OVER (ORDER BY id, token) AS k FROM a WHERE token IN (SELECT token FROM b)
   UNION ALL SELECT 'ours_only_earliest', token, row_number() OVER (ORDER BY id, token) FROM a WHERE token NOT IN (SELECT token FROM b)
   UNION ALL SELECT 'theirs_only_earliest', token, row_number() OVER (ORDER BY id, token) FROM b WHERE token NOT IN (SELECT token FROM a)
@@ -420,8 +501,7 @@ k AS (SELECT 'shared_earliest' AS kind, token, row_number() OVER (ORDER BY id, t
   UNION ALL SELECT 'theirs_only_longest', token, row_number() OVER (ORDER BY length(token) DESC, id, token) FROM b WHERE token NOT IN (SELECT token FROM a))
 SELECT kind, k::INTEGER AS k, token FROM k WHERE k <= 10""")
 def _(spark, d):
-    plain = lambda lang: word_pairs(spark, d, lang).filter(F.length("token") == F.octet_length("token"))
-    return V.examples(plain("en"), plain("fr"))
+    return as_hex(V.examples(word_pairs(spark, d, "en"), word_pairs(spark, d, "fr")))
 
 
 @query("running_bytes", "SELECT doc_id, sum(octet_length(encode(text))) OVER (ORDER BY doc_id)::BIGINT AS end_byte FROM documents")
@@ -470,10 +550,10 @@ def stream_of(spark, d, name: str, columns: list[str]) -> DataFrame:
     return S.read_documents(spark, f"{d}/{name}.parquet*", table(spark, d, name).schema).select(*columns)
 
 
-@query("stream_encode", "SELECT conv_id, turn, octet_length(encode(text))::INTEGER AS n FROM conversations")
+@query("stream_encode", f"{ids_sql('conversations', 'conv_id, turn')} SELECT conv_id, turn, ids FROM encoded")
 def _(spark, d):
-    ids = S.encode_stream(stream_of(spark, d, "conversations", ["conv_id", "turn", "text"]), byte_model())
-    return finished(ids.select("conv_id", "turn", F.size("ids").alias("n")), "append")
+    ids = S.encode_stream(stream_of(spark, d, "conversations", ["conv_id", "turn", "text"]), published().model)
+    return finished(ids.select("conv_id", "turn", "ids"), "append")
 
 
 @query("stream_running_counts", counts_sql("gpt2", "conversations"))

@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.pretokens import split_documents
-
 Paths = "str | os.PathLike | Sequence[str | os.PathLike]"
 
 
@@ -27,9 +25,39 @@ def path_list(paths: Paths) -> list[str]:
     return [os.fspath(p) for p in many]
 
 
-def local_exists(path: str) -> None:
-    if "://" not in path and not any(c in path for c in "*?[{") and not os.path.exists(path):
-        raise FileNotFoundError(f"no such file: {path}")
+def hadoop_path(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def check_exists(spark: SparkSession, path: str) -> None:
+    """Asks the file system that the path belongs to."""
+    if not any(c in path for c in "*?[{"):
+        fs, where = hadoop_path(spark, path)
+        if not fs.exists(where):
+            raise FileNotFoundError(f"no such file: {path}")
+
+
+def is_empty_file(spark: SparkSession, path: str) -> bool:
+    if any(c in path for c in "*?[{"):
+        return False
+    fs, where = hadoop_path(spark, path)
+    status = fs.getFileStatus(where)
+    return status.isFile() and status.getLen() == 0
+
+
+SMALL_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
+    """A small table, by the bytes that its scan is planned with, over all cores; a larger one as it is.
+
+    A file of few row groups would be one task's. The shuffle of at most ``limit`` bytes costs less than that;
+    beyond it tables have row groups enough, and aren't shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if cores > 1 and size <= limit else df
 
 
 class Source(ABC):
@@ -58,13 +86,17 @@ class FileSource(Source):
         raise NotImplementedError
 
     def documents(self, spark: SparkSession) -> DataFrame:
-        """A file's rows keep their order through monotonically increasing ids; files come in the order given."""
+        """A file's rows keep their order through monotonically increasing ids; paths come in the order given, and each is a scan.
+
+        A folder or a pattern is one path: a corpus of very many files is best given so.
+        """
         out = None
-        for k, path in enumerate(self.paths):
-            local_exists(path)
-            one = self.read_one(spark, path).select((F.monotonically_increasing_id() + F.lit(k * 2**50)).alias("doc_id"), "text")
+        for path in self.paths:
+            check_exists(spark, path)
+            one = self.read_one(spark, path).select("text")
             out = one if out is None else out.unionAll(one)
-        return out
+        # partitions of a union are numbered in the order of its parts
+        return out.select(F.monotonically_increasing_id().alias("doc_id"), "text")
 
 
 class TextSource(FileSource):
@@ -80,7 +112,7 @@ class TextSource(FileSource):
         if self.separator:
             return spark.read.option("lineSep", self.separator).text(path).select(F.col("value").alias("text")).filter("text <> ''")
         rows = spark.read.text(path, wholetext=True).select(F.col("value").alias("text"))
-        if "://" not in path and os.path.isfile(path) and os.path.getsize(path) == 0:
+        if is_empty_file(spark, path):
             return spark.createDataFrame([("",)], "text string")
         return rows
 
@@ -131,12 +163,24 @@ class BytesSource(Source):
             raise TypeError("texts and bytes are mixed")
         self.separator = as_separator(separator)
 
-    def documents(self, spark):
-        rows = [(k, d if isinstance(d, str) else bytes(d).decode("utf-8", "replace")) for k, d in enumerate(self.data)]
-        df = spark.createDataFrame(rows, "k long, text string")
+    def pieces(self) -> list[str] | list[bytes]:
+        """The documents, parted and without empty ones if there is a separator."""
         if self.separator is None:
-            return df.select(F.col("k").alias("doc_id"), "text")
-        return df.select("k", F.posexplode(split_documents("text", self.separator)).alias("pos", "text")).select((F.col("k") * 2**31 + F.col("pos")).alias("doc_id"), "text")
+            return list(self.data)
+        sep = {True: self.separator, False: self.separator.encode()}
+        return [p for d in self.data for p in (d if isinstance(d, str) else bytes(d)).split(sep[isinstance(d, str)]) if p]
+
+    def documents(self, spark):
+        """(doc_id, text); text is BINARY if any document isn't UTF-8, so that no byte is lost, else STRING."""
+        rows = self.pieces()
+        try:
+            texts = [d if isinstance(d, str) else bytes(d).decode("utf-8") for d in rows]
+            return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        except UnicodeDecodeError:
+            return spark.createDataFrame([(k, bytearray(d)) for k, d in enumerate(rows)], "doc_id long, text binary")
+
+    def training_documents(self, spark):
+        return self.documents(spark).filter(F.length("text") > 0)
 
     def __repr__(self):
         return f"BytesSource({len(self.data)} buffers, separator={self.separator!r})"
