@@ -343,6 +343,7 @@ class PieceModel(Model):
     word_split: bool = False
     char_ids: dict = field(default_factory=dict)
     fallback: tuple[int, ...] = ()
+    goes_on: bool = False  # texts are what follows a cut
 
     @cached_property
     def raw_finder(self):
@@ -362,17 +363,17 @@ class PieceModel(Model):
 
         return {op[1]: Charsmap(op[1]) for op in self.normalizers if op[0] == "charsmap"}
 
-    def normalize(self, s: str) -> str:
+    def normalize(self, s: str, goes_on: bool = False) -> str:
         for op, *args in self.normalizers:
             if op == "prepend":
-                s = args[0] + s if s else s
+                s = args[0] + s if s and not goes_on else s
             elif op == "replace":
                 s = s.replace(*args)
             elif op == "collapse":
                 s = re.sub(" {2,}", lambda m: args[0], s)
             elif op == "strip":
                 left, right = args
-                s = s.lstrip(WHITE) if left else s
+                s = s.lstrip(WHITE) if left and not goes_on else s
                 s = s.rstrip(WHITE) if right else s
             elif op == "charsmap":
                 s = self.charsmaps[args[0]].normalize(s)
@@ -407,7 +408,7 @@ class PieceModel(Model):
                 first = False
                 continue
             normal = {t.content: t for t in reversed(self.normal_tokens)}
-            for q in cut_at_added(self.normalize(p), self.normal_finder if special else None, normal):
+            for q in cut_at_added(self.normalize(p, first and self.goes_on), self.normal_finder if special else None, normal):
                 if isinstance(q, int):
                     out.append(q)
                 else:
@@ -432,9 +433,8 @@ class PieceModel(Model):
         return parts
 
     def continued(self) -> PieceModel:
-        """After a cut there is a space already: nothing is put before it, and nothing taken from its left."""
-        ops = tuple(("strip", False, op[2]) if op[0] == "strip" else op for op in self.normalizers if op[0] != "prepend")
-        return replace(self, normalizers=ops, prepend="never" if self.prepend is not None else None)
+        """After a cut there is a space already: before the first segment nothing is put, and nothing taken from its left."""
+        return replace(self, goes_on=True)
 
     def encode_as_it_is(self, text: str) -> np.ndarray:
         """Without added tokens, normalizers and Metaspace."""

@@ -1,0 +1,274 @@
+"""The two drop-in interfaces against the libraries whose shape they have."""
+
+import base64
+import json
+
+import numpy as np
+import pytest
+
+from lexiloom import Tokenizer
+from lexiloom.compat.tiktoken_api import Encoding
+from lexiloom.compat.transformers_api import FastTokenizer, around
+
+PATH = "/opt/tokenizers"
+TEXTS = ["Hello, world!", "", "it's   2024\n\n\tend ", "naïve café 日本語 😀", "<|endoftext|> inside <|endoftext|>", "a" * 300, "don't they'll I'VE", " leading", "x\r\ny"]
+
+
+@pytest.fixture(scope="module")
+def tok():
+    return Tokenizer(f"{PATH}/byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def config(tok):
+    return tok.config
+
+
+@pytest.fixture(scope="module")
+def other(config):
+    import tokenizers
+
+    return tokenizers.Tokenizer.from_str(json.dumps(config))
+
+
+@pytest.fixture(scope="module")
+def theirs(tok):
+    tiktoken = pytest.importorskip("tiktoken")
+    from lexiloom.functions.schemes import SCHEMES
+
+    with open(f"{PATH}/byte_bpe_50k.tiktoken", "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=SCHEMES["gpt2"].patterns[0], mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
+
+
+@pytest.fixture(scope="module")
+def ours():
+    return Tokenizer.from_tiktoken(f"{PATH}/byte_bpe_50k.tiktoken", "gpt2", {"<|endoftext|>": 50256}).as_tiktoken("own")
+
+
+# tiktoken
+
+
+def test_encoding_equals_theirs(ours, theirs):
+    for t in TEXTS:
+        assert ours.encode_ordinary(t) == theirs.encode_ordinary(t)
+        assert ours.encode(t, allowed_special="all") == theirs.encode(t, allowed_special="all")
+        assert ours.encode(t, disallowed_special=()) == theirs.encode(t, disallowed_special=())
+        assert ours.encode(t, allowed_special={"<|endoftext|>"}) == theirs.encode(t, allowed_special={"<|endoftext|>"})
+    assert ours.encode_batch(TEXTS, allowed_special="all") == theirs.encode_batch(TEXTS, allowed_special="all")
+    assert ours.encode_ordinary_batch(TEXTS) == theirs.encode_ordinary_batch(TEXTS)
+    for e in (ours, theirs):
+        with pytest.raises(ValueError):
+            e.encode(TEXTS[4])
+        with pytest.raises(ValueError):
+            e.encode("plain text", disallowed_special={"plain"})
+
+
+def test_decoding_equals_theirs(ours, theirs):
+    rows = [theirs.encode(t, allowed_special="all") for t in TEXTS]
+    for r in [*rows, rows[3][:-1], rows[3][1:]]:
+        assert ours.decode(r) == theirs.decode(r)
+        assert ours.decode_bytes(r) == theirs.decode_bytes(r)
+        assert ours.decode_tokens_bytes(r) == theirs.decode_tokens_bytes(r)
+    assert ours.decode_batch(rows) == theirs.decode_batch(rows) and ours.decode_bytes_batch(rows) == theirs.decode_bytes_batch(rows)
+    assert ours.decode_batch([]) == [] and ours.decode([]) == ""
+    with pytest.raises(UnicodeDecodeError):
+        ours.decode(theirs.encode("日")[:1], errors="strict")
+
+
+def test_single_tokens_and_accessors(ours, theirs):
+    for t in (" the", b"\xff", "<|endoftext|>"):
+        assert ours.encode_single_token(t) == theirs.encode_single_token(t)
+        assert ours.decode_single_token_bytes(ours.encode_single_token(t)) == (t if isinstance(t, bytes) else t.encode())
+    for e in (ours, theirs):
+        with pytest.raises(KeyError):
+            e.encode_single_token("no such token at all")
+        with pytest.raises(KeyError):
+            e.decode_single_token_bytes(60_000)
+    # theirs are sorted by bytes
+    assert sorted(ours.token_byte_values()) == sorted(theirs.token_byte_values())
+    assert (ours.n_vocab, ours.max_token_value, ours.eot_token, ours.special_tokens_set) == (theirs.n_vocab, theirs.max_token_value, theirs.eot_token, theirs.special_tokens_set)
+    assert ours.is_special_token(50256) and not ours.is_special_token(1)
+    assert repr(ours).startswith("Encoding('own'")
+
+
+def test_what_is_not_supported_raises(ours):
+    for call in (lambda: ours.encode_with_unstable("x"), lambda: ours.decode_with_offsets([1])):
+        with pytest.raises(NotImplementedError):
+            call()
+    with pytest.raises(TypeError):
+        Encoding("no tokenizer")
+    two = Tokenizer.from_tiktoken(f"{PATH}/byte_bpe_50k.tiktoken", "gpt2", {"<|a|>": 50256, "<|b|>": 50257}).as_tiktoken()
+    with pytest.raises(NotImplementedError):
+        two.encode("<|a|> <|b|>", allowed_special={"<|a|>"}, disallowed_special=())
+
+
+def test_encoding_of_columns(spark, ours, theirs):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)] + [(99, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in ours.encode_df(df, allowed_special="all").collect()}
+    assert got == {i: theirs.encode(t, allowed_special="all") for i, t in enumerate(TEXTS)} | {99: None}
+    with pytest.raises(Exception, match="disallowed special token"):
+        ours.encode_df(df).collect()
+
+
+# transformers
+
+
+@pytest.fixture
+def hf(tok):
+    out = tok.as_hf()
+    out.pad_token = "<|endoftext|>"
+    return out
+
+
+def test_calls_equal_the_library(hf, other):
+    assert hf(TEXTS)["input_ids"] == [e.ids for e in other.encode_batch(TEXTS, add_special_tokens=False)]
+    one = hf(TEXTS[0])
+    assert one.input_ids == other.encode(TEXTS[0]).ids and one["attention_mask"] == [1] * len(one.input_ids)
+    assert "attention_mask" not in hf(TEXTS[0], return_attention_mask=False)
+    assert hf.encode(TEXTS[2]) == other.encode(TEXTS[2]).ids
+    assert hf.tokenize(TEXTS[2]) == other.encode(TEXTS[2]).tokens
+    with pytest.raises(AttributeError):
+        one.no_such_field
+
+
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_padding_equals_the_library(hf, other, side):
+    hf.padding_side = side
+    other.enable_padding(direction=side, pad_id=50256, pad_token="<|endoftext|>")
+    try:
+        want = other.encode_batch(TEXTS, add_special_tokens=False)
+    finally:
+        other.no_padding()
+    got = hf(TEXTS, padding=True)
+    assert got["input_ids"] == [e.ids for e in want] and got["attention_mask"] == [e.attention_mask for e in want]
+    arrays = hf(TEXTS, padding="longest", return_tensors="np")
+    assert arrays.input_ids.tolist() == got["input_ids"] and arrays.attention_mask.dtype == np.int64
+
+
+@pytest.mark.parametrize("side", ["left", "right"])
+def test_truncation_equals_the_library(hf, other, side):
+    hf.truncation_side = side
+    other.enable_truncation(4, direction=side)
+    try:
+        want = [e.ids for e in other.encode_batch(TEXTS, add_special_tokens=False)]
+    finally:
+        other.no_truncation()
+    assert hf(TEXTS, truncation=True, max_length=4)["input_ids"] == want
+    wide = hf(TEXTS, truncation=True, max_length=4, padding="max_length")
+    assert {len(r) for r in wide["input_ids"]} == {4}
+    assert [r[:n] for r, n in zip(wide["input_ids"], map(sum, wide["attention_mask"]))] == want
+
+
+@pytest.mark.parametrize(
+    "arguments, error",
+    [
+        ({"text_pair": "b"}, ValueError),
+        ({"truncation": "only_second", "max_length": 3}, ValueError),
+        ({"padding": "sideways"}, NotImplementedError),
+        ({"truncation": "sometimes"}, NotImplementedError),
+        ({"return_tensors": "tf"}, NotImplementedError),
+        ({"is_split_into_words": True}, NotImplementedError),
+        ({"truncation": True}, ValueError),
+        ({"padding": "max_length"}, ValueError),
+        ({"max_length": 3}, ValueError),
+        ({"text": None}, ValueError),
+        ({"text": ["a", "a b c"], "return_tensors": "np"}, ValueError),
+        ({"text": "a b c d e f", "padding": "max_length", "max_length": 2}, ValueError),
+    ],
+)
+def test_calls_that_make_no_sense_raise(hf, arguments, error):
+    with pytest.raises(error):
+        hf(**({"text": "a"} | arguments))
+
+
+def test_no_pad_token_raises(tok):
+    plain = tok.as_hf()
+    plain.pad_token = None
+    with pytest.raises(ValueError, match="pad"):
+        plain(TEXTS, padding=True)
+    hf = tok.as_hf()
+    hf.padding_side = "middle"
+    with pytest.raises(ValueError):
+        hf("a")
+
+
+def test_decoding_and_conversions(hf, other):
+    rows = hf(TEXTS)["input_ids"]
+    assert hf.batch_decode(rows) == TEXTS == hf.decode(rows)
+    assert hf.decode(rows[4], skip_special_tokens=True) == " inside "
+    assert hf.decode(np.array(rows[0])) == TEXTS[0] and hf.decode(rows[0][0]) == other.decode(rows[0][:1])
+    tokens = hf.convert_ids_to_tokens(rows[2])
+    assert tokens == [other.id_to_token(i) for i in rows[2]]
+    assert hf.convert_tokens_to_ids(tokens) == rows[2] and hf.convert_tokens_to_string(tokens) == TEXTS[2]
+    assert hf.convert_ids_to_tokens(50256) == "<|endoftext|>" and hf.convert_ids_to_tokens([50256, 1], skip_special_tokens=True) == [other.id_to_token(1)]
+    assert hf.convert_ids_to_tokens(70_000) is None
+    hf.unk_token = None
+    assert hf.convert_tokens_to_ids("no such token") is None
+    hf.unk_token = "<|endoftext|>"
+    assert hf.convert_tokens_to_ids(["no such token"]) == [50256]
+
+
+def test_vocabulary_and_specials(hf, other):
+    assert hf.get_vocab() == other.get_vocab() and len(hf) == other.get_vocab_size() and hf.vocab_size == other.get_vocab_size(with_added_tokens=False)
+    assert hf.get_added_vocab() == {"<|endoftext|>": 50256} == hf.added_tokens_encoder and hf.added_tokens_decoder == {50256: "<|endoftext|>"}
+    assert hf.pad_token_id == 50256 and hf.special_tokens_map["pad_token"] == "<|endoftext|>"
+    assert "<|endoftext|>" in hf.all_special_tokens and 50256 in hf.all_special_ids
+    with pytest.raises(AttributeError):
+        hf.nothing
+    with pytest.raises(ValueError):
+        hf.num_special_tokens_to_add(pair=True)
+    with pytest.raises(TypeError):
+        FastTokenizer("no tokenizer")
+    with pytest.raises(ValueError):
+        Tokenizer.from_tiktoken(f"{PATH}/byte_bpe_50k.tiktoken", "gpt2").as_hf()
+
+
+def templated(config, post):
+    return Tokenizer.from_json(config | {"post_processor": post}).as_hf()
+
+
+TEMPLATE = {
+    "type": "TemplateProcessing",
+    "single": [{"SpecialToken": {"id": "<|endoftext|>", "type_id": 0}}, {"Sequence": {"id": "A", "type_id": 0}}, {"SpecialToken": {"id": "!", "type_id": 0}}],
+    "pair": [{"Sequence": {"id": "A", "type_id": 0}}, {"Sequence": {"id": "B", "type_id": 1}}],
+    "special_tokens": {"<|endoftext|>": {"id": "<|endoftext|>", "ids": [50256], "tokens": ["<|endoftext|>"]}, "!": {"id": "!", "ids": [0, 0], "tokens": ["!", "!"]}},
+}
+
+
+def test_templates_equal_the_library(config):
+    import tokenizers
+
+    for post in (None, TEMPLATE, {"type": "Sequence", "processors": [TEMPLATE]}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}):
+        hf = templated(config, post)
+        other = tokenizers.Tokenizer.from_str(json.dumps(config | {"post_processor": post}))
+        assert hf(TEXTS)["input_ids"] == [e.ids for e in other.encode_batch(TEXTS)]
+        assert hf(TEXTS, add_special_tokens=False)["input_ids"] == [e.ids for e in other.encode_batch(TEXTS, add_special_tokens=False)]
+        assert hf.num_special_tokens_to_add() == other.num_special_tokens_to_add(False)
+        other.enable_truncation(6)
+        assert hf(TEXTS, truncation=True, max_length=6)["input_ids"] == [e.ids for e in other.encode_batch(TEXTS)]
+    hf = templated(config, TEMPLATE)
+    with pytest.raises(ValueError):
+        hf(TEXTS, truncation=True, max_length=2)
+    assert around({"type": "Sequence", "processors": [TEMPLATE, TEMPLATE]}).before == (50256, 50256)
+
+
+def test_unknown_processors_matter_only_where_tokens_are_added(config):
+    hf = templated(config, None)
+    hf._post = {"type": "Strange"}
+    assert hf(TEXTS, add_special_tokens=False)["input_ids"]
+    with pytest.raises(ValueError, match="add_special_tokens=False"):
+        hf(TEXTS)
+
+
+def test_columns_equal_calls(spark, config):
+    hf = templated(config, TEMPLATE)
+    hf.pad_token = "<|endoftext|>"
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
+    for options in ({}, {"padding": True}, {"truncation": True, "max_length": 6}, {"padding": "max_length", "truncation": True, "max_length": 8}, {"add_special_tokens": False}):
+        want = hf(TEXTS, **options)
+        got = {r["doc_id"]: (r["input_ids"], r["attention_mask"]) for r in hf.call_df(df, **options).collect()}
+        assert got == {i: (a, b) for i, (a, b) in enumerate(zip(want["input_ids"], want["attention_mask"]))}
+    ids = spark.createDataFrame(list(enumerate(hf(TEXTS, add_special_tokens=False)["input_ids"])), "doc_id long, input_ids array<int>")
+    assert {r["doc_id"]: r["text"] for r in hf.decode_df(ids).collect()} == dict(enumerate(TEXTS))
+    assert {r["text"] for r in hf.decode_df(ids.filter("doc_id = 4"), skip_special_tokens=True).collect()} == {" inside "}
