@@ -1,36 +1,55 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-The distinct words of a chunk of the corpus are laid out as one linked list of
-symbols. An inverted index leads from each token pair, named by the rank of its
-merge, to the positions of its left symbols. Every merge is applied in rank
-order to all its positions at once; only the two neighbours of a merged symbol
-are touched, and the pairs that arise enter the index. As a word's merges depend
-on nothing outside it, replaying chunk by chunk equals one replay over the whole
-corpus, and no text is shuffled.
+Distinct words are laid out as one linked list of symbols. An inverted index leads
+from each token pair, named by the rank of its merge, to the positions of its left
+symbols. Every merge is applied in rank order to all its positions at once; only
+the two neighbours of a merged symbol are touched, and the pairs that arise enter
+the index. As a word's merges depend on nothing outside it, a worker replays the
+words that it hasn't met yet, a chunk of the corpus at a time, and keeps their ids:
+this equals one replay over the whole corpus, and no text is shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property, lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Numbering, chunks, narrow, offsets, ragged
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Words and bytes of words that a worker keeps the ids of; beyond either it begins anew.
+KEPT_WORDS, KEPT_BYTES = 400_000, 16 << 20
 
 
-def word_pattern() -> str:
-    letters, digits = r"\p{L}", r"\p{N}"
+def word_pattern(letters: str = r"\p{L}", digits: str = r"\p{N}", spaces: str = r"\s", others: str = r"\S") -> str:
     contraction = "'(?:" + "|".join(["[sdmt]", "ll", "ve", "re"]) + ")"
-    runs = [f" ?{c}+" for c in (letters, digits, rf"[^\s{letters}{digits}]")]
-    return "|".join([contraction, *runs, r"\s+(?!\S)", r"\s+"])
+    runs = [f" ?[{c}]+" for c in (letters, digits, f"^{spaces}{letters}{digits}")]
+    return "|".join([contraction, *runs, f"[{spaces}]+(?!{others})", f"[{spaces}]+"])
+
+
+class Splitter:
+    """Words of a text. ASCII texts, where the classes are ranges, go through the faster of two engines."""
+
+    def __init__(self):
+        import regex
+
+        self.any = regex.compile(word_pattern()).findall
+        self.ascii = re.compile(word_pattern("A-Za-z", "0-9", "\t-\r ", "[^\t-\r ]")).findall
+
+    def __call__(self, text: str | None) -> list[str]:
+        return (self.ascii if text.isascii() else self.any)(text) if text else []
 
 
 def printable_bytes() -> dict[str, int]:
@@ -53,6 +72,17 @@ class Merges:
     token_bytes: np.ndarray
     token_at: np.ndarray
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k in self.__dataclass_fields__}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+
+    @cached_property
+    def encoder(self) -> Encoder:
+        """One in each worker."""
+        return Encoder(self)
+
     @staticmethod
     def build(tokens: list[bytes], pairs: list[tuple[int, int, int]]) -> Merges:
         """tokens by id; pairs (left, right, merged) in rank order."""
@@ -96,7 +126,12 @@ class Merges:
 
 
 def load_merges(path: str) -> Merges:
-    """From a tokenizer.json of a byte-level BPE, or a .tiktoken file of ranks."""
+    """From a tokenizer.json of a byte-level BPE, or a .tiktoken file of ranks; once for each state of the file."""
+    return read_merges(path, os.stat(path).st_mtime_ns)
+
+
+@lru_cache(maxsize=2)
+def read_merges(path: str, _changed: int) -> Merges:
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -205,38 +240,48 @@ def replay(words: list[bytes], m: Merges) -> tuple[np.ndarray, np.ndarray]:
     return sym[alive], counts
 
 
-def encode_chunk(texts: list[str | None], m: Merges, findall) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, one after the other, and the number of ids of each."""
-    vocab, lines = Numbering(), []
-    number = vocab.__getitem__
-    for t in texts:
-        found = findall(t) if t else ()
-        lines.append(np.fromiter(map(number, found), np.int32, len(found)))
-    ids, counts = replay([w.encode("utf-8", "surrogatepass") for w in vocab], m)
-    starts = offsets(counts)[:-1]
-    where = np.concatenate(lines) if lines else np.zeros(0, np.int32)
-    each = counts[where]
-    per_text = np.array([each_.sum() for each_ in np.split(each, np.cumsum([len(x) for x in lines])[:-1])], np.int64) if lines else np.zeros(0, np.int64)
-    return ids[ragged(starts[where], each)], per_text
+class Encoder:
+    """Ids of the words met so far, one after the other."""
+
+    def __init__(self, m: Merges):
+        self.merges, self.split = m, Splitter()
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = Numbering()
+        self.ids, self.begin, self.bytes = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after the other, and the number of ids of each."""
+        if len(self.number) > KEPT_WORDS or self.bytes > KEPT_BYTES:
+            self.clear()
+        lines = list(map(self.split, texts))
+        sizes = np.array([len(x) for x in lines], np.int64)
+        where = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lines)), np.int64, int(sizes.sum()))
+        fresh = [w.encode("utf-8", "surrogatepass") for w in islice(self.number, len(self.begin) - 1, None)]
+        if fresh:
+            ids, counts = replay(fresh, self.merges)
+            self.ids = np.concatenate([self.ids, ids])
+            self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
+            self.bytes += sum(map(len, fresh))
+        each = self.begin[where + 1] - self.begin[where]
+        total = offsets(each)
+        return self.ids[ragged(self.begin[where], each)], np.diff(total[offsets(sizes)])
 
 
 def bpe_encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, token_ids ARRAY<INT>, n_tokens INT) of each row of ``docs``.
 
     A null text has null token_ids and n_tokens; an empty one has none and 0. Ids may be
-    null or repeat: each row is encoded by itself. Other columns are left out. Texts are
+    null or repeat, and are cast to LONG: each row is encoded by itself. Other columns are left out. Texts are
     encoded whole; special tokens in them are ordinary text.
     """
-    import regex
-
     m = docs.sparkSession.sparkContext.broadcast(load_merges(vocab_path))  # its size is the vocabulary's
-    pattern = word_pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        findall = regex.compile(pattern).findall
         for t in chunks(batches, CHUNK_BYTES):
             texts = t.column("text").to_pylist()
-            ids, counts = encode_chunk(texts, m.value, findall)
+            ids, counts = m.value.encoder.encode(texts)
             null = np.array([x is None for x in texts])
             lists = pa.ListArray.from_arrays(pa.array(offsets(counts).astype(np.int32), pa.int32(), mask=np.append(null, False)), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([t.column("id").combine_chunks(), lists, pa.array(counts.astype(np.int32), mask=null)], names=["id", "token_ids", "n_tokens"])
@@ -272,5 +317,4 @@ def bpe_decode(encoded: DataFrame, vocab_path: str, ids_col: str = "token_ids",
             texts = [None if null[i] else flat[ends[i] : ends[i + 1]].decode("utf-8", "replace") for i in range(b.num_rows)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, out_col])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{schema}, `{out_col}` string")
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(out_col, T.StringType())]))

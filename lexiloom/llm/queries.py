@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..queries import ids_sql
 from . import bpe, chroma, html, langid, mixing, quality, secrets, simhash, suffixes, warc
 from .common import table
 
@@ -63,4 +64,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": quality.SQL, "op4_mix_sources": mixing.SQL, "op5_secret_scan": secrets.sql(), "op8_warc_revisits": warc.SQL}
+    encoded = f"{ids_sql()} SELECT doc_id, ids AS token_ids, len(ids)::INTEGER AS n_tokens, text FROM encoded JOIN documents USING (doc_id)"
+    return {"op1_byte_bpe": encoded, "op3_quality_rules": quality.SQL, "op4_mix_sources": mixing.SQL, "op5_secret_scan": secrets.sql(), "op8_warc_revisits": warc.SQL}

@@ -44,13 +44,30 @@ def naive(word: bytes, m: bpe.Merges) -> list[int]:
 @given(st.lists(st.text(max_size=40), max_size=6))
 def test_equals_other_implementations(merges, other, texts):
     find = regex.compile(bpe.word_pattern()).findall
-    ids, counts = bpe.encode_chunk(texts, merges, find)
+    ids, counts = merges.encoder.encode(texts)  # keeps the words of the examples before
     parts = np.split(ids, np.cumsum(counts)[:-1]) if texts else []
     for t, p in zip(texts, parts):
         assert p.tolist() == other(t)
         assert p.tolist() == [i for w in find(t) for i in naive(w.encode(), merges)]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(128)], max_size=60))
+def test_both_engines_split_alike(text):
+    both = bpe.Splitter()
+    assert both.ascii(text) == both.any(text) and "".join(both(text)) == text
+
+
+def test_a_worker_that_begins_anew_gives_the_same(merges, monkeypatch):
+    texts = [f"word{k} of {k % 7} texts, é{k}" for k in range(300)]
+    want, n = bpe.Encoder(merges).encode(texts)
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
+    small = bpe.Encoder(merges)
+    parts = [small.encode(texts[k : k + 10]) for k in range(0, 300, 10)]
+    assert np.array_equal(np.concatenate([p[0] for p in parts]), want) and np.array_equal(np.concatenate([p[1] for p in parts]), n)
+    assert len(small.number) < 100
+
+
 def test_two_files_of_one_vocabulary_agree(merges):
     ranks = bpe.load_merges(RANKS)
     assert np.array_equal(ranks.keys, merges.keys) and np.array_equal(ranks.merged, merges.merged)
