@@ -9,7 +9,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .schemes import Scheme, by_name, java, python
+from .schemes import Scheme, ascii_only, by_name, java, python
 
 
 def split_isolated(piece: Column, pattern: str) -> Column:
@@ -45,7 +45,11 @@ def splitter(scheme: Scheme) -> Callable[[str], list[str]]:
         return lambda text: [text] if text else []
     compiled = [regex.compile(python(p)) for p in scheme.patterns]
     if len(compiled) == 1:
-        return compiled[0].findall
+        plain = ascii_only(scheme.patterns[0])
+        if plain is None:
+            return compiled[0].findall
+        quick, full = re.compile(plain).findall, compiled[0].findall
+        return lambda text: quick(text) if text.isascii() else full(text)
 
     def staged(text: str) -> list[str]:
         pieces = [text] if text else []

@@ -8,6 +8,7 @@ between matches stays a piece.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -128,3 +129,35 @@ def java(pattern: str) -> str:
 def python(pattern: str) -> str:
     """For the ``regex`` module, with set operations."""
     return "(?V1)" + pattern.replace(r"\p{IsHan}", r"\p{Han}")
+
+
+ASCII = {"L": "A-Za-z", "N": "0-9", "M": "", "Lu": "A-Z", "Lt": "", "Lm": "", "Lo": "", "Ll": "a-z"}
+BLANKS = "\\t-\\r "
+
+
+def ascii_only(pattern: str) -> str | None:
+    """The same for texts of ASCII alone in the dialect of ``re``, which is the faster engine; None where a class has no such form."""
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        if m := re.compile(r"\\p\{(\w+)\}").match(pattern, at):
+            if m[1] not in ASCII or not (inside or ASCII[m[1]]):
+                return None
+            out.append(ASCII[m[1]] if inside else f"[{ASCII[m[1]]}]")
+            at = m.end()
+            continue
+        two = pattern[at : at + 2]
+        if two in (r"\s", r"\S"):
+            if two == r"\S" and inside:
+                return None
+            out.append(BLANKS if inside else f"[{'^' if two[1] == 'S' else ''}{BLANKS}]")
+            at += 2
+        elif two[0] == "\\":
+            out.append(two)
+            at += 2
+        elif two == "&&":
+            return None
+        else:
+            inside = (inside or two[0] == "[") and two[0] != "]"
+            out.append(two[0])
+            at += 1
+    return "".join(out)

@@ -28,8 +28,8 @@ from ..sources.readers import Source, as_documents, as_separator, resolve
 
 TIES = ("huggingface", "raw_token_ids", "assembled_bytes")
 SEPARATOR = "<|endoftext|>"
-#: The driver merges distinct words of so many bytes in all, which take it some fifty times as much memory.
-DRIVER_BYTES = 16 << 20
+#: The driver merges distinct words of so many bytes in all, which take it some thirty times as much memory.
+DRIVER_BYTES = 32 << 20
 
 
 def count_pairs(words: DataFrame) -> DataFrame:
@@ -135,9 +135,11 @@ class MergeLoop:
     """Words as one linked list of symbols, with the places of each pair; a merge touches its neighbours alone."""
 
     def __init__(self, symbols: np.ndarray, lengths: np.ndarray, counts: np.ndarray, tokens: list[bytes], rule: str):
-        self.sym = np.asarray(symbols, np.int64).copy()
+        self.sym = np.array(symbols, np.int32)
         n = len(self.sym)
-        at = np.arange(n)
+        if n >= 1 << 31:
+            raise ValueError("too many symbols for one driver; train with where='table'")
+        at = np.arange(n, dtype=np.int32)
         self.nxt, self.prv = at + 1, at - 1
         ends = ends_of(lengths)
         full = np.asarray(lengths) > 0
@@ -151,7 +153,7 @@ class MergeLoop:
         self.enter(at[self.nxt >= 0])
 
     def keys(self, pos: np.ndarray) -> np.ndarray:
-        return (self.sym[pos] << 32) | self.sym[self.nxt[pos]]
+        return (self.sym[pos].astype(np.int64) << 32) | self.sym[self.nxt[pos]]
 
     def add(self, keys: np.ndarray, weights: np.ndarray, sign: int) -> None:
         if not len(keys):

@@ -7,6 +7,7 @@ import unicodedata
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
+from itertools import chain, islice
 
 import numpy as np
 
@@ -70,6 +71,14 @@ def as_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogateescape")
 
 
+class Numbering(dict):
+    """Numbers keys as they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class WordCache:
     """Ids of the words seen so far, in one growing array; starts over when it holds too many."""
 
@@ -78,7 +87,7 @@ class WordCache:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number = Numbering()
         self.flat = np.zeros(0, np.int32)
         self.begin = np.zeros(1, np.int64)
 
@@ -86,20 +95,13 @@ class WordCache:
         """Ids of all lines' words, one after the other, and the number of ids of each line."""
         if len(self.number) > CACHE_WORDS:
             self.clear()
-        number = self.number
-        fresh = {}
-        for line in lines:
-            for w in line:
-                if w not in number:
-                    number[w] = len(number)
-                    fresh[w] = None
+        sizes = np.array([len(x) for x in lines], np.int64)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(lines)), np.int64, int(sizes.sum()))
+        fresh = list(islice(self.number, len(self.begin) - 1, None))
         if fresh:
-            ids, counts = self.model.encode_words(list(fresh))
+            ids, counts = self.model.encode_words(fresh)
             self.flat = np.concatenate([self.flat, ids])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
-        sizes = np.array([len(x) for x in lines], np.int64)
-        get = number.__getitem__
-        at = np.fromiter((k for x in lines for k in map(get, x)), np.int64, int(sizes.sum()))
         each = self.begin[at + 1] - self.begin[at]
         total = ends_of(each)
         per_line = np.diff(total[ends_of(sizes)])

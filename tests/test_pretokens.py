@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lexiloom.functions import pretokens as P
@@ -113,3 +115,19 @@ def test_units(spark, n):
 def test_split_documents(spark):
     df = spark.createDataFrame([("<|s|>a<|s|><|s|>b<|s|>",)], "text string")
     assert df.select(P.split_documents("text", "<|s|>").alias("d")).first()["d"] == ["a", "b"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(alphabet=[chr(c) for c in range(128)], max_size=80), st.sampled_from(sorted(S.SCHEMES)))
+def test_both_engines_split_ascii_alike(text, name):
+    import regex
+
+    s = S.SCHEMES[name]
+    if len(s.patterns) == 1:
+        assert P.splitter(s)(text) == regex.compile(S.python(s.patterns[0])).findall(text)
+
+
+def test_ascii_forms():
+    forms = {n: S.ascii_only(s.patterns[0]) for n, s in S.SCHEMES.items() if len(s.patterns) == 1}
+    assert all(forms[n] for n in ("gpt2", "gpt4", "qwen2", "qwen35", "olmo3", "o200k", "nemotron", "superbpe_stage1"))
+    assert forms["kimi"] is None and S.ascii_only(r"\p{Greek}") is None

@@ -20,9 +20,11 @@ def real(spark):
 
 def naive(words, size, specials, rule):
     """Recounts all pairs for every merge."""
-    tokens = R.start(specials)
+    return recount([(list(w.encode()), n) for w, n in words.items()], R.start(specials), size, rule)
+
+
+def recount(state, tokens, size, rule):
     tie = R.TieBreak(rule, tokens)
-    state = [(list(w.encode()), n) for w, n in words.items()]
     merges = []
     while len(tokens) < size:
         count = {}
@@ -72,9 +74,9 @@ def test_equals_library(real):
     t.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(SCHEMES["gpt2"].patterns[0]), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
     t.decoder = decoders.ByteLevel()
     texts = [r["text"] for r in real.collect()]
-    t.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=600, show_progress=False, initial_alphabet=pre_tokenizers.ByteLevel.alphabet()))
+    t.train_from_iterator(texts, trainers.BpeTrainer(vocab_size=3000, show_progress=False, initial_alphabet=pre_tokenizers.ByteLevel.alphabet()))
     theirs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in json.loads(t.to_str())["model"]["merges"]]
-    mine = train_bpe(real, 600).to_json()["model"]["merges"]
+    mine = train_bpe(real, 3000).to_json()["model"]["merges"]
     assert [tuple(m) for m in mine] == theirs
 
 
@@ -116,6 +118,40 @@ def test_superwords(docs):
     assert train_superbpe(docs, 345, 330, ["<e>"], where="table").merges == train_superbpe(docs, 345, 330, ["<e>"]).merges
 
 
+def test_superwords_equal_recounting(spark, real):
+    """Stage 2 by hand: lines, cut into 128 bytes between characters, start as the first stage encodes them."""
+    few = real.orderBy("doc_id").limit(25)
+    base = train_bpe(few, 700, ["<e>"])
+    got = train_superbpe(few, 1000, 700, ["<e>"])
+    units = {}
+    for r in few.collect():
+        for line in r["text"].encode().split(b"\n"):
+            while line:
+                n = min(128, len(line))
+                while 0 < n < len(line) and line[n] & 0xC0 == 0x80:
+                    n -= 1
+                units[line[:n]] = units.get(line[:n], 0) + 1
+                line = line[n:]
+    index = {t: i for i, t in reversed(list(enumerate(base.tokens)))}
+    ranks = {(index[a], index[b]): (k, index[a + b]) for k, (a, b) in reversed(list(enumerate(base.merges)))}
+
+    def pieces(word):
+        ids = list(word)
+        while best := min(((ranks[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks), default=None):
+            i = best[1]
+            ids[i : i + 2] = [ranks[ids[i], ids[i + 1]][1]]
+        return ids
+
+    state = []
+    for unit, n in sorted(units.items()):
+        ids = []
+        for w in base.model().split(unit.decode()):
+            ids += pieces(w.encode())
+        state.append((ids, n))
+    assert got.merges[: len(base.merges)] == base.merges
+    assert got.merges[len(base.merges) :] == recount(state, list(base.tokens), 1000, "huggingface")
+
+
 def test_superwords_encode_as_at_once(docs):
     from lexiloom.plans.kernels import merge_heap
 
