@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiloom.llm import bpe, langid, mixing, quality, queries, secrets, simhash, suffixes
+from lexiloom.llm import bpe, chroma, html, langid, mixing, quality, queries, secrets, simhash, suffixes, warc
 
 #: Names that the operators use inside, or give their results.
 INSIDE = ["id", "h", "s", "e", "n", "k", "u", "t", "a", "b", "x", "key", "keys", "fp", "m", "root", "words", "heads", "gone", "name", "cdf", "rate", "weight", "least", "cuts", "stratum", "symbols", "capitals", "mix_copy", "mix_key", "token_ids", "n_tokens", "language", "languages", "shares", "accepted", "class", "begin", "end", "windows", "entropy", "duplicate_of", "source_doc_ids", "start_word", "good", "rule", "v"]
@@ -65,3 +65,28 @@ def test_operators(spark, odd):
     out = quality.quality_filter(odd, labels)
     assert out.columns == ["doc_id", "lang", *quality.RULES] and out.count() == 11
     assert bpe.bpe_encode(odd, queries.VOCAB).columns == ["doc_id", "token_ids", "n_tokens"]
+
+
+def clash(df, *more):
+    """``df`` with columns of all the names that the operators use inside, but for its own."""
+    return df.select("*", *[F.lit(c).alias(c) for c in [*CLASHES, *more] if c not in df.columns])
+
+
+def test_recordings_pages_and_records(spark):
+    sound = [float(x) for x in chroma.melody(chroma.np.random.default_rng(0).normal(0, 0.15, 60))]
+    recordings = clash(spark.createDataFrame([(1, sound), (2, sound), (2, sound), (None, sound), (3, None), (4, [])], "rec_id long, samples array<double>"), "notes", "digest", "far", "partner")
+    fps = clash(chroma.fingerprints(recordings), "digest", "far", "first", "rec_a", "rec_b")
+    assert {(r["rec_a"], r["rec_b"], r["bit_errors"]) for r in chroma.align(fps).collect()} == {(1, 2, 0)}
+    assert {(r["rec_id"], r["class_id"], r["links"]) for r in chroma.linked(fps).collect()} == {(1, 1, 0), (2, 1, 0)}
+    pages = clash(spark.createDataFrame([(1, "<p>one</p>"), (1, "<p>one</p>"), (None, "plain"), (2, None)], "page_id long, html string"), "text", "n_elements", "n_kept")
+    got = html.extract_pages(pages, html.fit([])).collect()
+    assert sorted((str(r["page_id"]), str(r["text"]), r["n_elements"]) for r in got) == [("1", "", 1), ("1", "", 1), ("2", "None", 0), ("None", "plain", 0)]
+    rows = [(1, "http://a.b/c", 1, "response", 200, {"ETag": "x"}, "body"), (2, "https://a.b/c/", 2, "revisit", 304, {"etag": "x"}, None)]
+    records = clash(spark.createDataFrame(rows, "record_id long, url string, fetched long, kind string, status int, headers map<string,string>, payload string"), "stored", "asks", "i", "z", "outcome", "canonical_url", "response_id", "revisit_id")
+    assert [(r["revisit_id"], r["response_id"], r["outcome"], r["payload"]) for r in warc.resolve_revisits(records).collect()] == [(2, 1, "resolved", "body")]
+
+
+def test_a_metric_as_the_stratum_is_refused(spark):
+    df = spark.createDataFrame([(1, "text", "x")], "doc_id long, text string, symbols string")
+    with pytest.raises(ValueError, match="metric"):
+        quality.quality_filter(df, df.selectExpr("doc_id", "1 as quality"), stratum_col="symbols")
