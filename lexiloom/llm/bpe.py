@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 
 from .common import Numbering, chunks, narrow, offsets, ragged
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Words and bytes of words that a worker keeps the ids of; beyond either it begins anew.
-KEPT_WORDS, KEPT_BYTES = 400_000, 16 << 20
+KEPT_WORDS, KEPT_BYTES = 150_000, 6 << 20
 
 
 def word_pattern(letters: str = r"\p{L}", digits: str = r"\p{N}", spaces: str = r"\s", others: str = r"\S") -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import chunks, if_small, narrow, offsets, short_batches
 
 TRAIN_DOCS = 500
-CHUNK_BYTES = 1 << 20  # some fifty times as much in arrays
+CHUNK_BYTES = 512 << 10  # some fifty times as much in arrays
 PENALTY = 3.0
 TOLERANCE, ROUNDS = 1e-3, 60
 UNKNOWN = "und"
@@ -49,10 +49,10 @@ def code_points(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 def trigrams(codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of letters' codes (0: none), below ``base``: each word's trigrams and its end, as numbers; where each stands; whether it begins a word."""
-    prev = np.concatenate([[0], codes[:-1]])
-    before = np.where(prev == 0, 0, np.concatenate([[0, 0], codes[:-2]])[: len(codes)])
+    prev = np.concatenate([codes[:0], [0], codes[:-1]]).astype(codes.dtype)
+    before = np.where(prev == 0, 0, np.concatenate([[0, 0], codes[:-2]])[: len(codes)]).astype(codes.dtype)
     used = np.flatnonzero((codes > 0) | (prev > 0))
-    return ((before * base + prev) * base + codes)[used], used, prev[used] == 0
+    return (before[used].astype(np.int64) * base + prev[used]) * base + codes[used], used, prev[used] == 0
 
 
 @dataclass(frozen=True)
@@ -77,7 +77,7 @@ class Model:
 
     @cached_property
     def codes(self) -> np.ndarray:
-        lut = np.where(is_letter(), self.base - 1, 0)
+        lut = np.where(is_letter(), self.base - 1, 0).astype(np.int32)
         lut[self.letters] = np.arange(1, len(self.letters) + 1)
         return lut
 

@@ -161,7 +161,7 @@ def test_hostile_pages_take_linear_time(page):
     began = time.process_time()
     nodes = html.parse(page)
     html.render(nodes, np.ones(len(nodes), bool))
-    assert time.process_time() - began < 4
+    assert time.process_time() - began < 10  # a quadratic way takes minutes
 
 
 def test_tokens_are_learned():
