@@ -79,6 +79,37 @@ def test_equal_recordings_are_one_class_and_hot_keys_are_told_apart(spark):
     assert len({k for i, k in keys if k > 2 or k < 1}) == 2 and sorted(i for i, k in keys if k == 2) == [0, 1, 2] and len(keys) == 13
 
 
+def test_hot_keys_lose_no_pair(spark):
+    rng = np.random.default_rng(8)
+    sampled = {31 - int(j) % 32 for chosen in chroma.samples_of_bits(2, chroma.BAND_BITS) for j in chosen}
+    told_apart = {int(b) % 32 for b in np.random.default_rng(99).permutation(64)[: chroma.MORE_BITS]}
+    bit = min(told_apart - sampled)  # no key sees it, and what splits hot keys does
+    short = rng.integers(0, 1 << 32, max(chroma.FAR) + 2, np.uint32)
+    rows = [(0, short), (1, short ^ np.uint32(1 << bit))]
+    for i in range(2, 42):  # each begins 130 times like the short ones and goes on as it likes
+        rows.append((i, np.concatenate([x for _ in range(130) for x in (short[:10], rng.integers(0, 1 << 32, 30, np.uint32))])))
+    df = spark.createDataFrame([(i, f.view(np.int32).tolist()) for i, f in rows], "rec_id long, fp array<int>")
+    assert 40 * 130 > chroma.HOT_KEY
+    got = [tuple(r) for r in chroma.align(df).collect()]
+    assert got == [(0, 1, 0, 4, len(short), 32 * len(short))]
+
+
+def test_hot_keys_have_all_pairs_across_blocks(spark):
+    rng = np.random.default_rng(9)
+    far = rng.integers(-(1 << 63), 1 << 63, 3)[rng.integers(0, 3, 90)]
+    for _ in range(6):
+        far ^= np.int64(1) << rng.integers(0, 63, 90)
+    rows = [(i % 40, 1 + (i >= 80), i, int(f)) for i, f in enumerate(far)]
+    keyed = spark.createDataFrame(rows, "id long, key long, t int, far long")
+    want = sorted((a[0], b[0], a[2] - b[2]) for a in rows for b in rows if a[1] == b[1] and a[0] < b[0] and ((a[3] ^ b[3]) & (1 << 64) - 1).bit_count() <= chroma.FAR_ERRORS)
+    hot_keys = chroma.hot_places(keyed, 20)
+    assert [tuple(r) for r in hot_keys.collect()] == [(1, 80)]
+    spread = chroma.spread_hot(keyed, 20)
+    within = chroma.meeting(spread.alias("a").join(spread.alias("b"), "key"))
+    crossing = chroma.across(keyed, hot_keys, 20)
+    assert crossing.count() > 100 and sorted(map(tuple, within.union(crossing).collect())) == want
+
+
 def test_notes_are_neighbours(spark):
     rows = [(1, [1.0, 2.0], "a"), (2, [3.0], "b"), (4, None, "c"), (None, [9.0], "d"), (2, [5.0], "e")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, notes string")
