@@ -34,8 +34,10 @@ from .common import Numbering, chunks, cut, fresh, if_small, narrow, offsets, ra
 
 BITS = 256
 MAX_DISTANCE = 32
-#: Bits of a band: the binary logarithm of the entries, BAND_BITS at least. So many bands that a pair at the limit is missed by one in ten.
+#: Where bands are asked for: bits of a band: the binary logarithm of the entries, BAND_BITS at least. So many bands that a pair at the limit is missed by one in ten.
 BAND_BITS, RECALL = 20, 0.9
+#: Masks are made for parts of so many wrong bits less one at most; entries of a block; keys that a task sorts at least.
+COVER, BLOCK, TASK = 6, 500_000, 2_000_000
 SMALL = 48
 PAIRS = 400_000
 WORDS = re.compile(r"\w+")
@@ -137,8 +139,8 @@ def bucket_edges(starts: np.ndarray, sizes: np.ndarray, rows: np.ndarray, limit:
     a, b = [], []
     small = (sizes > 1) & (sizes <= SMALL)
     s, z = starts[small], sizes[small]
-    for lo in range(0, len(s), 20_000):
-        ss, zz = s[lo : lo + 20_000], z[lo : lo + 20_000]
+    for lo in range(0, len(s), 4_000):
+        ss, zz = s[lo : lo + 4_000], z[lo : lo + 4_000]
         left = ragged(ss, zz)
         many = np.repeat(ss + zz, zz) - left - 1
         i, j = np.repeat(left, many), ragged(left + 1, many)
@@ -272,6 +274,112 @@ def near_edges(one: DataFrame, max_distance: int, bands: int, size: int) -> Data
     return with_fp.repartition(parts, "name").sortWithinPartitions("name").mapInArrow(verified, "a long, b long").distinct()
 
 
+def masks(max_distance: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, mask of these): any two fingerprints within ``max_distance`` agree on all bits of one mask at least.
+
+    The bits are cut into parts. Their shares of wrong bits add up to max_distance + 1 less one for each part, so that one
+    part has no more wrong bits than its share t. Each bit of it has a vector of t + 1 bits, and each vector v but 0
+    gives the mask of the bits whose vectors have an odd product with v. Up to t wrong bits are as many equations for
+    v, which leave one besides 0: its mask has none of the wrong bits. Where the masks would select nothing, one
+    empty mask stands for all pairs.
+    """
+    n = -(-(max_distance + 1) // COVER)
+    shares = [(max_distance + 1 + k) // n for k in range(n)]  # t + 1
+    if n > BITS:
+        return [(0, 1, 0)]
+    cuts = [BITS * k // n for k in range(n + 1)]
+    rng, out, selected = np.random.default_rng(40_013), [], 0.0
+    for lo, hi, share in zip(cuts, cuts[1:], shares):
+        width = min(hi - lo, 63)
+        vectors = np.concatenate([rng.permutation(np.arange(1, 1 << share)) for _ in range(-(-width // ((1 << share) - 1)))])[:width]
+        for v in range(1, 1 << share):
+            odd = np.bitwise_count(vectors & v) & 1
+            out.append((lo, width, int(odd.astype(np.int64) @ (1 << np.arange(width, dtype=np.int64)))))
+            selected += 0.5 ** int(odd.sum())
+    return out if selected < 0.5 else [(0, 1, 0)]
+
+
+def part_words(fps: np.ndarray, parts: list[tuple[int, int]]) -> dict[tuple[int, int], np.ndarray]:
+    """The bits of each part (first bit, bits) of fingerprints of 32 bytes, as one number."""
+    out = {part: np.zeros(len(fps), np.int64) for part in parts}
+    for k in range(0, len(fps), 20_000):
+        bits = np.unpackbits(fps[k : k + 20_000], axis=1)
+        for lo, width in parts:
+            for b in range(width):
+                out[lo, width][k : k + 20_000] |= bits[:, lo + b].astype(np.int64) << b
+    return out
+
+
+def cover_edges(fps: np.ndarray, chosen: list[tuple[int, int, int]], limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect what pairs of fingerprints within ``limit`` that agree on one of the masks connect. What is connected isn't compared again."""
+    n = len(fps)
+    words, tab, whole = part_words(fps, sorted({m[:2] for m in chosen})), unpacked(pivot_table(fps, base_pivot())), fps.view(np.uint64)
+    index, shift, low = np.arange(n, dtype=np.uint64), np.uint64(n.bit_length()), np.arange(n)
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def distance(rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x, y = rows[x], rows[y]
+        out = np.zeros(len(x), np.int16)
+        apart = np.flatnonzero(low[x] != low[y])
+        out[apart] = greatest_difference(tab, x[apart], y[apart])
+        apart = apart[out[apart] <= limit]
+        out[apart] = hamming(whole[x[apart]], whole[y[apart]])
+        return out
+
+    for lo, width, mask in chosen:
+        # hashes and places in one number: what meets by a clash is verified like all others
+        keys = np.sort((mixed(words[lo, width] & mask) >> shift << shift) | index)
+        at, sizes = runs(keys >> shift)
+        rows = (keys[at] & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)
+        if not len(rows):
+            continue
+        starts = offsets(sizes)[:-1]
+        several = np.minimum.reduceat(low[rows], starts) != np.maximum.reduceat(low[rows], starts)
+        rows, sizes = rows[np.repeat(several, sizes)], sizes[several]
+        i, j = bucket_edges(offsets(sizes)[:-1], sizes, rows, limit, distance)
+        i, j = rows[i], rows[j]
+        new = low[i] != low[j]
+        if new.any():
+            a.append(i[new])
+            b.append(j[new])
+            low = labels(n, low[i[new]], low[j[new]])[low]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def all_edges(one: DataFrame, entries: int, max_distance: int, block: int = BLOCK, task: int = TASK) -> DataFrame:
+    """(a, b): links that connect what pairs of entries (node, fp) within ``max_distance`` connect; none is left out.
+
+    Entries are cut into blocks by hashes, and each two blocks are a task, which has some of the masks where there
+    are fewer tasks than cores. An entry is sent to as many tasks as there are blocks: 40 bytes each, in place of
+    a row for each of hundreds of masks.
+    """
+    chosen = masks(max_distance)
+    blocks = max(1, -(-entries // block))
+    pairs = max(1, blocks * (blocks - 1) // 2)
+    rows = entries if blocks == 1 else 2 * block
+    shares = max(1, min(len(chosen), rows * len(chosen) // task, -(-2 * one.sparkSession.sparkContext.defaultParallelism // pairs)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, fps, share = [], [], 0
+        for t in batches:
+            if t.num_rows:
+                share = t.column("task")[0].as_py() % shares  # a partition is a task
+                node.append(t.column("node").to_numpy())
+                fps.append(as_fingerprints(t.column("fp")))
+        if node:
+            node = np.concatenate(node)
+            i, j = cover_edges(np.concatenate(fps), chosen[share::shares], max_distance)
+            yield pa.RecordBatch.from_arrays([pa.array(node[i]), pa.array(node[j])], names=["a", "b"])
+
+    mine, other = F.pmod(F.xxhash64("node"), F.lit(blocks)), F.col("other")
+    high = F.greatest("mine", "other")
+    pair = high * (high - 1) / 2 + F.least("mine", "other") if blocks > 1 else F.lit(0)
+    sent = one.select("node", "fp", mine.cast("long").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("other"))
+    sent = (sent.filter("mine <> other") if blocks > 1 else sent).select("node", "fp", pair.cast("int").alias("pair"))
+    sent = sent.select("node", "fp", F.explode(F.sequence(F.col("pair") * shares, F.col("pair") * shares + (shares - 1))).alias("task"))
+    return sent.repartitionById(pairs * shares, F.col("task")).mapInArrow(run, "a long, b long").distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(id, root): the least id that edges (a, b) connect with each id. By alternating large and small stars."""
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -295,8 +403,13 @@ def grouped_texts(docs: DataFrame, id_col: str, text_col: str, max_distance: int
     rows = cut(fingerprint_table(docs, id_col, text_col))
     # numbers of a checkpointed table don't change if it is read again
     one = cut(rows.groupBy("fp").agg(F.count("*").alias("n")).repartition(parts, "fp").withColumn("node", F.monotonically_increasing_id()))
-    n_bands, size = band_plan(one.count(), max_distance, **({"least_bits": band_size} if band_size else {}))
-    roots = connected(near_edges(one, max_distance, bands or n_bands, size))
+    entries = one.count()
+    if bands or band_size:
+        n_bands, size = band_plan(entries, max_distance, **({"least_bits": band_size} if band_size else {}))
+        edges = near_edges(one, max_distance, bands or n_bands, size)
+    else:
+        edges = all_edges(one, entries, max_distance)
+    roots = connected(edges)
     roots = roots.union(roots.select(F.col("root").alias("id"), "root").distinct())
     members = one.join(roots, one["node"] == roots["id"], "left").filter("root is not null or n > 1").select("fp", F.coalesce("root", "node").alias("g"))
     texts = rows.join(members, "fp").groupBy("g", "id", "h").agg(F.count("*").alias("n"))
@@ -308,9 +421,9 @@ def grouped_texts(docs: DataFrame, id_col: str, text_col: str, max_distance: int
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = MAX_DISTANCE, bands: int | None = None, band_size: int | None = None) -> DataFrame:
     """(id, duplicate_of): for each row of a group but its first, the least id of the group.
 
-    A group is what pairs of texts within ``max_distance`` of 256 bits connect. Every row is a query; a
-    pair within the threshold is a candidate if it agrees on one of ``bands`` samples of at least ``band_size``
-    bits (see ``band_plan``, which grows both with the corpus). Null and empty texts and texts without any
+    A group is what pairs of texts within ``max_distance`` of 256 bits connect. Every row is a query, and every
+    pair within the threshold counts. Only where ``bands`` or ``band_size`` is given, a pair must agree on one of so
+    many samples of at least so many bits (see ``band_plan``) and may be missed. Null and empty texts and texts without any
     word are in no group. Rows count by themselves: rows that share an id may be in different groups, or in
     one, of which all but one are listed. A null id is a row's like any other, and comes after all numbers;
     duplicate_of is null where a group has no id at all. Ids are cast to LONG.

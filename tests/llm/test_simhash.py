@@ -36,6 +36,63 @@ def test_equals_all_pairs(spark):
     assert same >= 0.95 * len(want) and set(got) <= set(want)
 
 
+def edited_texts(n=350):
+    """Texts and a copy of each with so many other words that their distances lie about the limit."""
+    rng = np.random.default_rng(12)
+    words = [f"word{k}" for k in range(30_000)]
+    texts = []
+    for k in range(n):
+        base = list(rng.choice(words, 100))
+        edited = base.copy()
+        for at in rng.permutation(100)[: 4 + k % 5]:
+            edited[at] = words[rng.integers(len(words))]
+        texts += [" ".join(base), " ".join(edited)]
+    return texts
+
+
+def test_no_pair_near_the_limit_is_lost(spark):
+    texts = edited_texts()
+    pairs, want = brute_force.near_groups(list(range(len(texts))), texts, simhash.MAX_DISTANCE)
+    assert 200 < len(pairs) < 340
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["duplicate_of"] for r in simhash.near_duplicates(df).collect()} == want
+
+
+def test_masks_cover_every_pair_within_the_limit():
+    rng = np.random.default_rng(2)
+    for limit in (0, 1, 7, 32, 60, 255):
+        chosen = simhash.masks(limit)
+        fps = rng.integers(0, 256, (400, 32), np.uint8)
+        bits = np.unpackbits(fps, axis=1)
+        for row in bits:
+            row[rng.permutation(256)[:limit]] ^= 1
+        both = [simhash.part_words(f, sorted({m[:2] for m in chosen})) for f in (fps, np.packbits(bits, axis=1))]
+        met = np.zeros(400, bool)
+        for lo, width, mask in chosen:
+            met |= (both[0][lo, width] & mask) == (both[1][lo, width] & mask)
+        assert met.all()
+    assert len(simhash.masks(32)) == 282
+
+
+def test_blocks_and_shares_of_masks_give_all_groups(spark):
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 256, (600, 32), np.uint8)
+    bits = np.unpackbits(fps, axis=1)
+    for k in range(300):  # chains, and a star of 100 that differ
+        bits[300 + k] = bits[k] if k < 200 else bits[0]
+        bits[300 + k, rng.permutation(256)[: 32 if k < 200 else 10]] ^= 1
+    fps = np.packbits(bits, axis=1)
+    i, j = np.triu_indices(600, 1)
+    near = simhash.hamming(fps.view(np.uint64)[i], fps.view(np.uint64)[j]) <= 32
+    low = simhash.labels(600, i[near], j[near])
+    one = spark.createDataFrame([(k, f.tobytes()) for k, f in enumerate(fps)], "node long, fp binary")
+    for block, task in ((1000, 10_000), (150, 1 << 40), (250, 40_000)):
+        edges = simhash.all_edges(one, 600, 32, block, task).collect()
+        a, b = (np.array([r[c] for r in edges]) for c in "ab")
+        assert (simhash.labels(600, a, b) == low).all()
+        assert (simhash.hamming(fps.view(np.uint64)[a], fps.view(np.uint64)[b]) <= 32).all()
+
+
 def test_rows_count_by_themselves(spark):
     near = "one two three four five six seven"
     rows = [(1, near), (1, "quite another text of other words"), (1, near), (2, near.upper()), (None, near), (None, near), (3, None), (None, "")]
