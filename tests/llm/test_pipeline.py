@@ -1,6 +1,9 @@
 import corpus_pipeline
 from lexiloom.llm import bpe, langid, mixing, secrets, simhash
 
+from . import brute_force
+from .test_simhash import edited_texts
+
 DIR = "/root/testdata/sf0.001"
 
 
@@ -37,3 +40,11 @@ def test_stages_and_run(spark, tmp_path):
         sizes.append(len(rows))
         docs = after
     assert corpus_pipeline.run(spark, DIR).count() == sizes[-1]
+
+
+def test_near_dedup_keeps_no_pair_near_the_limit(spark):
+    texts = edited_texts()
+    _, want = brute_force.near_groups(list(range(len(texts))), texts, simhash.MAX_DISTANCE)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.deduplicate(spark, docs, DIR).collect())
+    assert kept == [i for i in range(len(texts)) if i not in want]
