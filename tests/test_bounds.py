@@ -4,9 +4,11 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from lexiloom import queries as core
 from lexiloom.operators import encode as E
+from lexiloom.operators import train as R
 from lexiloom.plans import model as M
 from lexiloom.tokenizer import Tokenizer
 
@@ -59,3 +61,45 @@ def test_batches_of_texts_are_short(spark):
 
     assert max(r.n for r in docs.mapInArrow(size, "n long").collect()) < 6 << 20
     assert E.encode_udf(core.byte_model()) and docs.select(E.encode_udf(core.byte_model())("text").alias("ids")).selectExpr("sum(size(ids)) n").first().n == 5000 * 10000
+
+
+ODD = ["the cat  sat\ton the mat. ", "naïve café — 日本語のテキスト\n\n  indented\tcode = x1 + x2;  ", "aaaaaaa aaaa aaa", "", None, "été   no-break", "x" * 300 + " " + "é" * 200]
+
+
+def odd_docs(spark, n: int = 40):
+    rng = np.random.default_rng(5)
+    some = words(30)
+    texts = [" ".join(some[i] for i in rng.zipf(1.5, 60) % 30) for _ in range(n)]
+    return spark.createDataFrame([(t,) for t in [*texts, *ODD, *ODD]], "text string").repartition(3)
+
+
+@pytest.mark.parametrize("rule", R.TIES)
+def test_merges_over_the_table_with_a_poor_sample(spark, monkeypatch, rule):
+    docs = odd_docs(spark)
+    want = R.train_bpe(docs, 420, ["<s>"], rule, where="driver").merges
+    monkeypatch.setattr(R, "SAMPLE_BYTES", 150)
+    monkeypatch.setattr(R, "CHUNK_SYMBOLS", 400)
+    assert R.train_bpe(docs, 420, ["<s>"], rule, where="table").merges == want and len(want) > 100
+
+
+def test_many_symbols_go_by_search(spark, monkeypatch):
+    docs = odd_docs(spark)
+    specials = [f"<{k}>" for k in range(1000)]
+    assert R.train_bpe(docs, 1350, specials, where="table").merges == R.train_bpe(docs, 1350, specials, where="driver").merges
+
+
+def test_two_stages_over_the_table(spark):
+    docs = odd_docs(spark)
+    for unit in (128, 7):
+        got = [R.train_superbpe(docs, 420, 330, ["<|endoftext|>"], max_unit_len=unit, where=w).merges for w in ("driver", "table")]
+        assert got[0] == got[1] and len(got[0]) > 150
+
+
+def test_the_table_is_written_once(spark, monkeypatch):
+    from lexiloom.operators import checkpoint
+
+    n = []
+    plain = checkpoint.cut
+    monkeypatch.setattr(checkpoint, "cut", lambda df: n.append(1) or plain(df))
+    assert len(R.train_bpe(odd_docs(spark), 316, where="table").merges) == 60
+    assert len(n) <= 2
