@@ -15,8 +15,9 @@ def one_char_a_byte(token: Column | str) -> Column:
 
 
 def is_superword(token: Column | str) -> Column:
-    """A space follows something other than a space."""
-    return one_char_a_byte(token).rlike("(?s)[^ ] ")
+    """A space follows something other than a space: there is one after those at the start."""
+    col = F.col(token) if isinstance(token, str) else token
+    return F.ltrim(col.cast("string")).contains(" ")
 
 
 def share(part: Column, whole: Column, digits: int = 4, scale: float = 1.0) -> Column:
@@ -84,14 +85,16 @@ def displacement(ours: DataFrame, theirs: DataFrame, token_col: str = "token", i
 
 def examples(ours: DataFrame, theirs: DataFrame, n: int = 10, token_col: str = "token", id_col: str = "id") -> DataFrame:
     """(kind, k, token): superwords that are shared or one side's alone, the earliest and the longest."""
-    a, b = (d.filter(is_superword(token_col)).select(one_char_a_byte(token_col).alias("token"), F.col(id_col).alias("id")) for d in (ours, theirs))
-    lists = (("shared_earliest", a.join(b.select("token"), "token", "left_semi"), ["id"]), ("ours_only_earliest", a.join(b, "token", "left_anti"), ["id"]), ("theirs_only_earliest", b.join(a, "token", "left_anti"), ["id"]), ("ours_only_longest", a.join(b, "token", "left_anti"), [F.desc(F.length("token")), "id"]), ("theirs_only_longest", b.join(a, "token", "left_anti"), [F.desc(F.length("token")), "id"]))
-    out = None
-    for kind, df, order in lists:
-        order = [*order, "token"]
-        top = df.orderBy(*order).limit(n).withColumn("k", F.row_number().over(Window.orderBy(*order))).select(F.lit(kind).alias("kind"), "k", "token")
-        out = top if out is None else out.unionAll(top)
-    return out
+    # tokens of one side with all their ids, so that a token that is there twice is listed twice; a token's form decides nothing until the last rows
+    token = F.col(token_col) if ours.schema[token_col].dataType == theirs.schema[token_col].dataType else F.col(token_col).cast("binary")
+    a, b = (d.filter(is_superword(token_col)).groupBy(token.alias("t")).agg(F.collect_list(F.struct(F.col(id_col).alias("id"))).alias(x)) for d, x in ((ours, "a"), (theirs, "b")))
+    both = a.join(b, "t", "full")
+    kinds = F.when(F.col("a").isNull(), F.array(F.lit("theirs_only_earliest"), F.lit("theirs_only_longest"))).when(F.col("b").isNull(), F.array(F.lit("ours_only_earliest"), F.lit("ours_only_longest"))).otherwise(F.array(F.lit("shared_earliest")))
+    rows = both.select("t", F.explode(F.coalesce("a", "b")).alias("x"), kinds.alias("kinds")).select("t", "x.id", F.explode("kinds").alias("kind"))
+    size = F.when(F.col("kind").endswith("longest"), F.octet_length("t")).otherwise(0)
+    first = Window.partitionBy("kind").orderBy(F.desc("size"), "id", "t")
+    top = rows.withColumn("size", size).withColumn("k", F.row_number().over(first)).filter(F.col("k") <= n)
+    return top.select("kind", "k", one_char_a_byte("t").alias("token"))
 
 
 def running_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

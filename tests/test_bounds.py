@@ -1,6 +1,7 @@
 """What a worker or the driver holds at once doesn't grow with the corpus."""
 
 import tracemalloc
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -8,6 +9,7 @@ import pytest
 
 from lexiloom import queries as core
 from lexiloom.operators import encode as E
+from lexiloom.operators import evaluate as V
 from lexiloom.operators import train as R
 from lexiloom.plans import model as M
 from lexiloom.tokenizer import Tokenizer
@@ -103,3 +105,25 @@ def test_the_table_is_written_once(spark, monkeypatch):
     monkeypatch.setattr(checkpoint, "cut", lambda df: n.append(1) or plain(df))
     assert len(R.train_bpe(odd_docs(spark), 316, where="table").merges) == 60
     assert len(n) <= 2
+
+
+def test_examples_read_each_side_once(spark):
+    a, b = (spark.range(300).selectExpr(f"concat('w', id % {m}, ' ', id) token", f"(id * 7) % 31 + {m} id") for m in (7, 5))
+    plan = V.examples(a, b)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2
+
+
+def test_examples_of_tokens_that_repeat_or_have_no_id(spark):
+    rows = [("a b", 3), ("a b", 1), ("c d", None), (" e", 0), ("e f g", 2), ("é ü", 2), (None, 1)]
+    more = [("a b", 9), ("a b", 8), ("x y", 4), ("x y", 4), ("zz", 1), ("  z z", 7)]
+    df = lambda x: spark.createDataFrame(x, "token string, id long")
+    got = {}
+    for r in sorted(V.examples(df(rows), df(more), 3).collect(), key=lambda r: r.k):
+        got.setdefault(r.kind, []).append(r.token.encode("latin-1").decode())
+    assert got == {
+        "shared_earliest": ["a b", "a b"],
+        "ours_only_earliest": ["c d", "e f g", "é ü"],
+        "theirs_only_earliest": ["x y", "x y", "  z z"],
+        "ours_only_longest": ["e f g", "é ü", "c d"],
+        "theirs_only_longest": ["  z z", "x y", "x y"],
+    }
