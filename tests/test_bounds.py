@@ -127,3 +127,18 @@ def test_examples_of_tokens_that_repeat_or_have_no_id(spark):
         "ours_only_longest": ["e f g", "é ü", "c d"],
         "theirs_only_longest": ["  z z", "x y", "x y"],
     }
+
+
+def test_streams_leave_their_rows_on_disk(spark, tmp_path):
+    for mode in ("append", "complete"):
+        spark.range(1000).selectExpr("id % 10 id").write.parquet(f"{tmp_path}/{mode}/in")
+        df = spark.readStream.schema("id long").parquet(f"{tmp_path}/{mode}/in")
+        got = core.finished(df if mode == "append" else df.groupBy("id").count(), mode)
+        assert got.count() == (1000 if mode == "append" else 10)
+        assert got.inputFiles() and "MemoryPlan" not in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_stream_over_nothing(spark, tmp_path):
+    spark.createDataFrame([], "id long").write.parquet(f"{tmp_path}/in")
+    df = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    assert core.finished(df, "append").collect() == core.finished(df.groupBy("id").count(), "complete").collect() == []
