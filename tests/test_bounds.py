@@ -142,3 +142,24 @@ def test_a_stream_over_nothing(spark, tmp_path):
     spark.createDataFrame([], "id long").write.parquet(f"{tmp_path}/in")
     df = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
     assert core.finished(df, "append").collect() == core.finished(df.groupBy("id").count(), "complete").collect() == []
+
+
+def test_places_of_pretokens_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(1, "one two two"), (1, "one two two"), (2, None), (None, ""), (3, "zwei " + "x" * 200)], "doc_id long, text string")
+    model = core.byte_model()
+    got = E.encode_through_dictionary(docs, model)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=lambda r: repr(r)) == sorted(((i, None if t is None else list(t.encode())) for i, t in docs.collect()), key=lambda r: repr(r))
+
+
+def test_a_dictionary_gives_the_ids(spark, monkeypatch):
+    monkeypatch.setattr(E, "DICTIONARY_WORDS", 5)
+    docs = odd_docs(spark).selectExpr("hash(text) doc_id", "text")
+    model = replace(core.published().model, added=())
+    monkeypatch.setattr(M, "CACHE_WORDS", 12)
+    show = lambda df: sorted(repr(tuple(r)) for r in df.select("doc_id", "ids").collect())
+    assert show(E.encode_through_dictionary(docs, model)) == show(E.encode(docs, model, special=False, keep_text=False))
+    known = replace(model, known=(("the", " x"), *model.encode_words(["the", " x"])))
+    for _ in range(3):
+        assert [x.tolist() for x in known.encode_batch(["the x y the"])] == [x.tolist() for x in model.encode_batch(["the x y the"])]
+        known.cache.clear()
