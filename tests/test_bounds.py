@@ -6,6 +6,7 @@ from dataclasses import replace
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexiloom import queries as core
 from lexiloom.operators import encode as E
@@ -163,3 +164,17 @@ def test_a_dictionary_gives_the_ids(spark, monkeypatch):
     for _ in range(3):
         assert [x.tolist() for x in known.encode_batch(["the x y the"])] == [x.tolist() for x in model.encode_batch(["the x y the"])]
         known.cache.clear()
+
+
+def test_the_driver_gets_the_words_of_the_dictionary_alone(spark, monkeypatch):
+    monkeypatch.setattr(E, "DICTIONARY_WORDS", 3)
+    seen = []
+    monkeypatch.setattr(E, "encode", lambda docs, model, *a, **k: seen.append(model.known))
+    plans = []
+    frame = type(spark.range(1))
+    plain = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or plain(df))
+    docs = spark.createDataFrame([("a a a a a a a a b b b b b c c c d d e e f",)] * 2, "text string").withColumn("doc_id", F.lit(1))
+    E.encode_through_dictionary(docs, core.byte_model())
+    assert seen[0][0] == (" a", " b", " c")
+    assert plans and not any("Limit" in p for p in plans)
